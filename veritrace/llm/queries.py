@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import cross_split, format_dups
+from veritrace.llm import cross_split, encode, format_dups
 from veritrace.runtime import table
 
 
@@ -26,8 +26,12 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.distinct_records(table(spark, sf_dir, "source_item"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_records)}
+    return {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_records, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
