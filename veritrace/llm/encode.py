@@ -11,6 +11,7 @@ are kept for the rest of the partition.
 from __future__ import annotations
 
 import base64
+import gc
 import json
 import re
 from array import array
@@ -33,7 +34,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: Words a partition keeps the ids of; when full, the memory is emptied and words are encoded again.
 KEPT_WORDS = 300_000
 #: Bytes of words that one recursive query takes at most; a longer word goes alone.
-QUERY_BYTES = 1_500_000
+QUERY_BYTES = 400_000
 
 #: spots: one row a token, with the place of the next one of its word; a contracted place stays with token -1. Only pairs
 #: of one token with itself can overlap; of a run of such pairs every second is taken, from the left.
@@ -43,7 +44,7 @@ WITH RECURSIVE spots(word, pos, tok, nxt) USING KEY (pos) AS (
   UNION ALL
     (WITH pairs AS (
         SELECT s.word, s.pos, n.pos AS gone, n.nxt AS after, m.rank, m.merged, s.tok = n.tok AS twin
-        FROM spots s JOIN spots n ON s.nxt = n.pos JOIN merges m ON m.a = s.tok AND m.b = n.tok
+        FROM spots s JOIN spots n ON s.nxt = n.pos JOIN merges m ON m.pair = s.tok::BIGINT * 65536 + n.tok
         WHERE s.tok >= 0
     ), best AS (
         SELECT word, min(rank) AS rank FROM pairs GROUP BY word
@@ -99,10 +100,11 @@ class Encoder:
         cols = [pa.array(x, pa.int32()) for x in zip(*merges)]
         merge_table = pa.table(cols, names=["a", "b", "rank", "merged"])
         self.con.register("merge_arrow", merge_table)
-        self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_arrow")
+        self.con.execute("CREATE TABLE merges AS SELECT a::BIGINT * 65536 + b AS pair, rank, merged FROM merge_arrow")
         self._forget()
 
-    def _contract(self, words: list[bytes]) -> dict[int, list[int]]:
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids)."""
         sizes = np.array([len(w) for w in words])
         nxt = np.arange(1, sizes.sum() + 1, dtype=np.int32)
         nxt[np.cumsum(sizes) - 1] = -1
@@ -115,35 +117,29 @@ class Encoder:
             }
         )
         self.con.register("first_tokens", first)
-        out = self.con.sql(_RECURSIVE).to_arrow_table()
+        out = self.con.sql(_RECURSIVE).to_arrow_table().combine_chunks()
         self.con.unregister("first_tokens")
-        return dict(zip(out.column("word").to_pylist(), out.column("ids").to_pylist()))
+        order = np.argsort(out.column("word").to_numpy())
+        ids = out.column("ids").combine_chunks().take(pa.array(order))
+        return np.diff(ids.offsets.to_numpy()), ids.flatten().to_numpy()
+
+    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.start.frombytes((self.start[-1] + np.cumsum(sizes, dtype=np.int64)).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
 
     def learn(self, words: set[str]) -> None:
         """Find the ids of words not known yet."""
-        todo: list[tuple[str, bytes]] = []
-        place, flat, start = self.place, self.flat, self.start
-        for w in words:
-            raw = w.encode("utf-8", "replace")
-            one = self.ids.get(raw)
-            if one is None:
-                todo.append((w, raw))
-            else:
-                place[w] = len(place)
-                flat.append(one)
-                start.append(len(flat))
-        at = 0
-        while at < len(todo):
-            part, size = [], 0
-            while at < len(todo) and (not part or size + len(todo[at][1]) <= QUERY_BYTES):
-                size += len(todo[at][1])
-                part.append(todo[at])
-                at += 1
-            found = self._contract([raw for _, raw in part])
-            for k, (w, _) in enumerate(part):
-                place[w] = len(place)
-                flat.extend(found[k])
-                start.append(len(flat))
+        names = list(words)
+        raws = [w.encode("utf-8", "replace") for w in names]
+        ones = np.fromiter((self.ids.get(r, -1) for r in raws), np.int32, len(raws))
+        whole = np.flatnonzero(ones >= 0)
+        self._keep([names[i] for i in whole], np.ones(len(whole), np.int64), ones[whole])
+        rest = np.flatnonzero(ones < 0)
+        part = np.cumsum([len(raws[i]) for i in rest]) // QUERY_BYTES
+        for k in np.unique(part):
+            some = rest[part == k]
+            self._keep([names[i] for i in some], *self._contract([raws[i] for i in some]))
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         cut = [self.cut(t) if t else [] for t in texts]
@@ -178,8 +174,12 @@ def encoder(folder: str, name: str) -> Encoder:
 
 def _encoded(folder: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), encoder(folder, name).encode(batch.column(1).to_pylist())], names=["doc_id", "ids"])
+        gc.disable()  # millions of short-lived strings, none of them in a cycle
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), encoder(folder, name).encode(batch.column(1).to_pylist())], names=["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     return run
 
