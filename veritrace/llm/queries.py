@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import cross_split, encode, format_dups
+from veritrace.llm import cross_split, encode, format_dups, leakage, mixing, splitting
 from veritrace.runtime import table
 
 
@@ -18,6 +18,26 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(table(spark, sf_dir, "source_item"))
 
 
+def p3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "source_item"), table(spark, sf_dir, "mix_target"))
+
+
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_shares(table(spark, sf_dir, "source_item"), table(spark, sf_dir, "mix_target"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "rl_item"), table(spark, sf_dir, "split_limit"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_items(table(spark, sf_dir, "rl_item"), table(spark, sf_dir, "split_limit"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_report(table(spark, sf_dir, "rl_item"), table(spark, sf_dir, "split_limit"), table(spark, sf_dir, "prompt_truncation"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.superfluous_pairs(table(spark, sf_dir, "source_item"))
 
@@ -30,8 +50,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passage"))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passage"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passage"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_records, p6_ids)}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
