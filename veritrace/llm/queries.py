@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import cross_split, encode, format_dups, leakage, mixing, splitting
+from veritrace.llm import cross_split, encode, format_dups, leakage, mixing, splitting, truncation
 from veritrace.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_audits(table(spark, sf_dir, "audit_result"))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_shares(table(spark, sf_dir, "audit_result"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "source_item"))
 
@@ -63,7 +71,7 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items)}
 
 
 def oracle_sql() -> dict[str, str]:
