@@ -9,10 +9,9 @@ repeated words give rare shingles too.
 Prefix filter. Order all shingles from rare to common, by any order that both sides share. Of the words that a match
 aligns, take the HITS rarest: before them a record has at most n - L words that aren't aligned, so all HITS lie within
 its first n - L + HITS shingles, in both records. Word filter: an aligned word stands at places that differ by at most
-max(n, m) - L, which can be tested where the word occurs once in both. Length filter: min(n, m) >= L. A pair without
-HITS shingles that pass can't match. A record whose prefix holds f shingles that are common in the corpus (texts in Han
-script, with few rare words) asks for HITS + f instead, and a pair for the smaller number of its two records; the
-argument holds for any number, so no match is lost.
+max(n, m) - L, which can be tested where the word occurs once in both. Length filter: min(n, m) >= L. Count filter: words put
+into CELLS cells by hash give counts that differ by at most n + m - 2L in all, so a coincidence of common shingles
+(texts in Han script have few rare words) is dropped where it arises. A pair without HITS shingles that pass can't match.
 
 Steps: (1) words are hashed once and written, 4 bytes a word; (2) records with the same words form a class, and one
 representative of each goes on; (3) rarity is read off a sketch of fixed size, counted over all representatives;
@@ -38,9 +37,9 @@ from veritrace.runtime import materialize
 SKETCH = 1 << 18
 SHARE = 0.9
 #: Prefix shingles that a candidate pair must have in common; more of them mean longer prefixes and fewer candidates.
-HITS = 3
-#: A shingle is common if it is in more than this share of the records.
-COMMON = 0.001
+HITS = 8
+#: Cells of the word counts that go with each prefix shingle, a byte each (larger counts are 255), eight to a long.
+CELLS = 16
 #: A shingle is hot if it is in more than this share of the records; its training rows are spread over SALTS tasks.
 HOT = 0.02
 SALTS = 16
@@ -112,36 +111,39 @@ def _sketch(buckets: int):
     return count
 
 
-def prefix(ranks: np.ndarray, common: int, share: float) -> tuple[int, int]:
-    """(size, hits) of a record's prefix, from the ranks of its shingles in order, and the least rank that is common."""
-    n = len(ranks)
-    spare = n - math.ceil(round(share * n, 6))
-    hits = HITS + int((ranks[: spare + HITS] >= common).sum())
-    return min(n, spare + hits), hits
+def prefix_size(n: int, share: float) -> int:
+    return min(n, n - math.ceil(round(share * n, 6)) + HITS)
 
 
-def _prefixes(ranks, common: int, hot: int, share: float):
+def cells(seq: np.ndarray) -> np.ndarray:
+    """Word counts by cell as CELLS / 8 longs."""
+    counts = np.bincount((seq * np.uint32(2654435761)) >> np.uint32(32 - CELLS.bit_length() + 1), minlength=CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).view(np.int64)
+
+
+def _prefixes(ranks, hot: int, share: float):
     def emit(batches):
         rank = ranks.value
         salts = np.arange(1, SALTS + 1, dtype=np.uint64) * _FOLD
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in range(4 + CELLS // 8)]
             for i, side, raw in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                h, place = _placed(np.frombuffer(raw, np.uint32))
+                seq = np.frombuffer(raw, np.uint32)
+                h, place = _placed(seq)
                 r = rank[(h % np.uint64(len(rank))).astype(np.int64)]
-                order = np.lexsort((h, r))
-                size, hits = prefix(r[order], common, share)
-                order = order[:size]
+                order = np.lexsort((h, r))[: prefix_size(len(h), share)]
                 e, p, wide = h[order], place[order], r[order] >= hot
                 if wide.any() and side == 0:
                     e = np.where(wide, e ^ salts[i % SALTS], e)
                 elif wide.any():
                     e = np.r_[e[~wide], (e[wide][:, None] ^ salts).ravel()]
                     p = np.r_[p[~wide], np.repeat(p[wide], SALTS)]
-                for part, x in zip(parts, (np.full(len(e), i, np.int64), np.full(len(e), side, np.int8), e.view(np.int64), p, np.full(len(e), len(h), np.int32), np.full(len(e), hits, np.int32))):
+                # place + 1 and number of words in one long: a field of a shuffled row takes 8 bytes whatever it holds
+                np_ = (np.int64(len(h)) << np.int64(32)) | (p.astype(np.int64) + 1)
+                for part, x in zip(parts, (np.full(len(e), i, np.int64), np.full(len(e), side, np.int8), e.view(np.int64), np_, *(np.full(len(e), c, np.int64) for c in cells(seq)))):
                     part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["id", "side", "e", "p", "n", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=["id", "side", "e", "np", *(f"c{c}" for c in range(CELLS // 8))])
 
     return emit
 
@@ -214,24 +216,28 @@ def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, .
     rank = np.zeros(buckets, np.uint8)
     scale = lambda n: np.minimum(255, 6 * np.log2(1 + n)).astype(np.uint8)
     rank[sketch["bucket"].to_numpy()] = scale(sketch["n"].to_numpy())
-    n_classes = classes.count()
-    common, hot = (int(scale(np.array(x * n_classes))) + 1 for x in (COMMON, HOT))
+    hot = int(scale(np.array(HOT * classes.count()))) + 1
     ranks = spark.sparkContext.broadcast(rank)
-    shape = "id long, side byte, e long, p int, n int, k int"
+    longs = [f"c{c}" for c in range(CELLS // 8)]
+    shape = "id long, side byte, e long, np long, " + ", ".join(f"{c} long" for c in longs)
     one_side = reps.select("id", "held", "seq")
     other_side = semi_checked(one_side, mixed, "id").withColumn("held", (1 - F.col("held")).cast("byte"))
-    entries = materialize(one_side.unionByName(other_side).mapInArrow(_prefixes(ranks, common, hot, share), shape), "split-prefixes")
-    left = entries.filter("side = 0").select("e", F.col("id").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    right = entries.filter("side = 1").select("e", F.col("id").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    longer = F.greatest("na", "nb")
-    need = F.ceil(F.round(F.lit(share) * longer, 6))
+    entries = materialize(one_side.unionByName(other_side).mapInArrow(_prefixes(ranks, hot, share), shape), "split-prefixes")
+    left = entries.filter("side = 0").select("e", F.col("id").alias("a"), F.col("np").alias("npa"), *(F.col(c).alias(c + "a") for c in longs))
+    right = entries.filter("side = 1").select("e", F.col("id").alias("b"), F.col("np").alias("npb"), *(F.col(c).alias(c + "b") for c in longs))
+    na, nb = F.shiftright("npa", 32), F.shiftright("npb", 32)
+    place_a, place_b = F.col("npa").bitwiseAND((1 << 32) - 1), F.col("npb").bitwiseAND((1 << 32) - 1)
+    need = F.ceil(F.round(F.lit(share) * F.greatest(na, nb), 6))
+    byte = lambda c, i: F.shiftright(c, 8 * i).bitwiseAND(255)
+    apart = sum((F.abs(byte(c + "a", i) - byte(c + "b", i)) for c in longs for i in range(8)), F.lit(0))
     found = (
         left.join(right, "e")
-        .filter(F.least("na", "nb") >= need)
-        .filter((F.col("pa") < 0) | (F.col("pb") < 0) | (F.abs(F.col("pa") - F.col("pb")) <= longer - need))
+        .filter(F.least(na, nb) >= need)
+        .filter((place_a == 0) | (place_b == 0) | (F.abs(place_a - place_b) <= F.greatest(na, nb) - need))
+        .filter(apart <= na + nb - 2 * need)
         .filter("a <> b")
         .groupBy("a", "b")
-        .agg(F.count("*").alias("hits"), F.first(F.least("ka", "kb", need)).alias("need"))
+        .agg(F.count("*").alias("hits"), F.first(F.least(F.lit(HITS), need)).alias("need"))
         .filter("hits >= need")
         .select("a", "b")
     )

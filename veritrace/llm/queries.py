@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import cross_split, encode, format_dups, leakage, mixing, splitting, truncation
+from veritrace.llm import cross_split, encode, format_dups, leakage, mixing, residue, splitting, truncation
 from veritrace.runtime import table
 
 
@@ -70,8 +70,20 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_passage"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_report(table(spark, sf_dir, "documents"))
+
+
+def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.validation(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_report, p8_validation)}
 
 
 def oracle_sql() -> dict[str, str]:
