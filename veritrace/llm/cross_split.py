@@ -40,6 +40,8 @@ SHARE = 0.9
 HITS = 8
 #: Cells of the word counts that go with each prefix shingle, a byte each (larger counts are 255), eight to a long.
 CELLS = 16
+#: Cells of the counts that candidate pairs are compared by before their words are fetched.
+FINE = 128
 #: A shingle is hot if it is in more than this share of the records; its training rows are spread over SALTS tasks.
 HOT = 0.02
 SALTS = 16
@@ -183,6 +185,26 @@ def agrees(a: np.ndarray, b: np.ndarray, share: float) -> bool:
     return common_in_order(a, b) >= need
 
 
+def _counted(batches):
+    """Adds the word counts in FINE cells, a byte each, to (id, seq)."""
+    for batch in batches:
+        fine = [np.minimum(np.bincount((np.frombuffer(x, np.uint32) * np.uint32(2654435761)) >> np.uint32(33 - FINE.bit_length()), minlength=FINE), 255).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary()), batch.column(1)], names=["id", "fine", "seq"])
+
+
+def _near(share: float):
+    """Keeps the pairs whose fine counts allow a match, from (a, b, na, nb, fine of a, fine of b)."""
+
+    def check(batches):
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            fa, fb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE).astype(np.int64) for c in (4, 5))
+            keep = np.abs(fa - fb).sum(1) <= na + nb - 2 * np.ceil(np.round(share * np.maximum(na, nb), 6))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return check
+
+
 def _verify(share: float):
     def check(batches):
         for batch in batches:
@@ -192,6 +214,12 @@ def _verify(share: float):
     return check
 
 
+def _with_both(pairs: DataFrame, side: DataFrame, col: str) -> DataFrame:
+    """pairs (a, b) with column col of the records a and b."""
+    one = skew_join(pairs, side.select(F.col("id").alias("a"), F.col(col).alias("ca")), ["a"])
+    return one.join(side.select(F.col("id").alias("b"), F.col(col).alias("cb")), "b")
+
+
 def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, ...] = ("validation", "test"), share: float = SHARE, buckets: int = SKETCH) -> DataFrame:
     """(item_id_a, item_id_b), a < b: each pair of a training record and a held-out record that match.
 
@@ -243,13 +271,12 @@ def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, .
     )
     candidates = materialize(found, "split-candidates")
     ids = materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "split-candidate-ids")
-    text = materialize(semi_checked(reps.select("id", "seq"), ids, "id"), "split-candidate-words")
-    pairs = (
-        skew_join(candidates, text.select(F.col("id").alias("a"), F.col("seq").alias("sa")), ["a"])
-        .join(text.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_verify(share), "a long, b long")
-    )
+    text = materialize(semi_checked(reps.select("id", "seq"), ids, "id").mapInArrow(_counted, "id long, fine binary, seq binary"), "split-candidate-words")
+    size = (F.octet_length("seq") / 4).cast("int").alias("size")
+    counted = _with_both(candidates, text.select("id", F.struct(size, "fine").alias("x")), "x").select("a", "b", F.col("ca.size").alias("na"), F.col("cb.size").alias("nb"), F.col("ca.fine").alias("fa"), F.col("cb.fine").alias("fb"))
+    near = materialize(counted.mapInArrow(_near(share), "a long, b long"), "split-near")
+    open_ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "split-near-ids")
+    pairs = _with_both(near, semi_checked(text, open_ids, "id"), "seq").select("a", "b", "ca", "cb").mapInArrow(_verify(share), "a long, b long")
     links = materialize(pairs.unionByName(mixed.select(F.col("id").alias("a"), F.col("id").alias("b"))), "split-links")
     # from classes back to records: the held side first, then the training side, hot classes spread
     held_side = skew_join(copies.filter("held = 1").select(F.col("rep").alias("b"), F.col("id").alias("h")), links, ["b"])
