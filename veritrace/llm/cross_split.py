@@ -41,7 +41,7 @@ HITS = 8
 #: Cells of the word counts that go with each prefix shingle, a byte each (larger counts are 255), eight to a long.
 CELLS = 16
 #: Cells of the counts that candidate pairs are compared by before their words are fetched.
-FINE = 128
+FINE = 512
 #: A shingle is hot if it is in more than this share of the records; its training rows are spread over SALTS tasks.
 HOT = 0.02
 SALTS = 16
