@@ -4,8 +4,8 @@ The unit is a segment: a line or sentence. Weak labels come from response-status
 slots (SLOT): a document that cues cover for the most part gives positive segments, one without cues or one in which they
 are a small part (content that quotes an error) gives negative ones; a segment with two or more slots is positive, one with
 a slot inside code or spoken about is negative, one with a single slot is left open. On a bounded sample of labelled
-documents a logistic regression with L2 penalty learns hashed word n-grams, length and title features. Hosts (the source
-column) are split: some are left out of training and used to validate.
+documents a logistic regression with L2 penalty learns hashed word n-grams, length and title features. To
+validate, some hosts (the source column) are left out of training and judged.
 
 Every document is then judged in whole: it is residue if a segment with a slot is positive, or if positive segments make
 up at least SHARE of its characters, headings apart. Scanning stops only when no later segment can change that.
@@ -21,13 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrace.llm.records import HAN
 
 #: Hash space of the features.
 SPACE = 1 << 18
-#: The bounded sample: documents with and without cues or slots, the lowest of a seeded order, none of more characters.
-SAMPLE, SAMPLE_CHARS, SEED = 6_000, 20_000, 11
+#: The bounded sample: about LOOKED documents are drawn by a seeded hash, none of more than SAMPLE_CHARS characters; of
+#: them at most SAMPLE that may have cues or slots and OTHERS of the rest are labelled.
+LOOKED, SAMPLE, OTHERS, SAMPLE_CHARS, SEED = 20_000, 4_000, 2_000, 20_000, 11
 #: One host in HELD_OUT is kept for validation.
 HELD_OUT = 5
 SHARE = 0.7
@@ -48,10 +50,10 @@ CUES = re.compile(
 #: The ways in which a slot is written.
 _NAME = r"[A-Za-z][\w.-]*(?: [A-Za-z][\w.-]*){0,5}"
 SLOT = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|[$#]\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|\[\[\s*{_NAME}\s*\]\]|"
+    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|\$\{{\s*{_NAME}\s*\}}|#\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|<<\s*{_NAME}\s*>>|\[\[\s*{_NAME}\s*\]\]|"
     rf"%\({_NAME}\)[sd]|%[A-Za-z][A-Za-z_]+%|__[A-Z][A-Z_]*__|@@\w+@@|\$\$\w+\$\$|«\s*{_NAME}\s*»|\((?:fill in|insert|enter|your)\b[^)\n]{{0,40}}\)|"
     rf"<(?!/?(?:s|p|b|i|a|h[1-6]|br|hr|li|ul|ol|td|tr|th|em|div|pre|img|html|head|body|meta|span|code|table|title|style|script|strong|unk|pad|bos|eos|mask|sep|cls)\b)[a-z][a-z_]*(?: [a-z_]+){{0,5}}>|"
-    rf"\[[A-Za-z][A-Za-z_]+(?: [A-Za-z_]+){{0,5}}\]|(?<![\w\"'(])\{{[a-z][a-z_]*\}}|_{{3,}}(?=[,.;: ])(?<![_]{{9}})"
+    rf"\[[A-Za-z][A-Za-z_]+(?: [A-Za-z_]+){{0,5}}\]|\{{(?<![\w\"'(]\{{)[a-z][a-z_]*\}}|_(?<!__)__+(?=[,.;: ])(?<!_{{9}})"
 )
 #: Signs that a slot is code or is spoken about.
 _SPOKEN = re.compile(r"`|\bexport \w|\bselect\b.*\bfrom\b|\blike '|\bdef \w|\breturn f?[\"']|f[\"'].*\{|\bforbids?\b|\bfields? are\b|\bis expanded\b|\bcontains?\b|\bvariables?\b|\bplaceholders? (?:named|called)|\bsyntax\b|\btemplate file\b")
@@ -74,26 +76,33 @@ def is_heading(segment: str, place: int) -> bool:
     return segment.startswith("#") or (place == 0 and len(segment) <= 40 and segment[-1] not in ".!?。！？…" and not CUES.search(segment.lower()) and not SLOT.search(segment))
 
 
-class Features:
-    """Feature numbers of segments; n-grams are looked up before they are hashed."""
+def names(segment: str, place: int) -> set[str]:
+    """The features of a segment by name: word 1-grams and 2-grams, with slots and numbers as words, length and title."""
+    words = [("<status>" if _STATUS.fullmatch(w) else "<n>") if w.isdigit() else w for w in _TOKEN.findall(SLOT.sub(" \x01 ", segment).lower())]
+    out = {*words, *map("{} {}".format, words, words[1:])}
+    out.update((f"len:{min(9, len(words).bit_length())}", f"end:{segment[-1] in '.!?。！？'}", f"title:{place == 0}:{len(words) < 8}", "bias"))
+    return out
+
+
+def number(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SPACE
+
 
-    def __init__(self) -> None:
-        self.kept: dict[str, int] = {}
+class Scorer(dict):
+    """Weight of each feature by name, hashed when first met."""
 
-    def number(self, name: str) -> int:
-        n = self.kept.get(name)
-        if n is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            self.kept[name] = n = zlib.crc32(name.encode("utf-8", "surrogatepass")) % SPACE
-        return n
+    def __init__(self, weight: np.ndarray) -> None:
+        super().__init__()
+        self.weight = weight
 
-    def __call__(self, segment: str, place: int) -> list[int]:
-        words = _TOKEN.findall(SLOT.sub(" \x01 ", segment).lower())
-        words = [("<status>" if _STATUS.fullmatch(w) else "<n>") if w.isdigit() else w for w in words]
-        names = [*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))]
-        names += [f"len:{min(9, len(words).bit_length())}", f"end:{segment[-1] in '.!?。！？'}", f"title:{place == 0}:{len(words) < 8}", "bias"]
-        return list({self.number(x) for x in names})
+    def __missing__(self, name: str) -> float:
+        w = float(self.weight[number(name)])
+        if len(self) < 500_000:
+            self[name] = w
+        return w
+
+    def positive(self, segment: str, place: int) -> bool:
+        return sum(map(self.__getitem__, names(segment, place))) > 0
 
 
 def weak_labels(text: str) -> list[tuple[str, int, int]]:
@@ -102,6 +111,8 @@ def weak_labels(text: str) -> list[tuple[str, int, int]]:
     A cue tells in a segment of at most BRIEF words, or where it recurs (filler); in a longer sentence it is quoted.
     """
     parts = segments(text)
+    if not CUES.search(text.lower()) and not SLOT.search(text):
+        return [(s, k, 0) for k, s in enumerate(parts) if not is_heading(s, k)]
     slots = [len(SLOT.findall(s)) for s in parts]
     brief = [len(_HAN.sub("", s).split()) + len(_HAN.findall(s)) / 3 <= BRIEF for s in parts]
     cued = [bool(CUES.search(s.lower())) if brief[k] else sum(1 for _ in CUES.finditer(s.lower())) > 2 for k, s in enumerate(parts)]
@@ -109,7 +120,7 @@ def weak_labels(text: str) -> list[tuple[str, int, int]]:
     plain = [(s, k) for k, s in enumerate(parts) if not slots[k] and not is_heading(s, k)]
     size = sum(len(s) for s, _ in plain)
     covered = sum(len(s) for s, k in plain if cued[k])
-    label = 0 if covered <= 0.1 * size else 1 if covered >= 0.3 * size and all(brief[k] or cued[k] for _, k in plain) else None
+    label = 0 if covered <= 0.1 * size else 1 if covered >= 0.15 * size and all(brief[k] or cued[k] for _, k in plain) else None
     if label is not None:
         out += [(s, k, label) for s, k in plain]
     for k, s in enumerate(parts):
@@ -146,26 +157,18 @@ def train(rows: list[tuple[list[int], int]], seed: int = SEED) -> np.ndarray:
     return weight.astype(np.float32)
 
 
-def judge(text: str, weight: np.ndarray, features: Features) -> str | None:
+def judge(text: str, scorer: Scorer) -> str | None:
     """The kind of residue, or None for content. Empty texts and texts without letters or digits are content."""
     if not text or text.isspace():
         return None
-
-    def positive(s: str, k: int) -> bool:
-        return float(weight[features(s, k)].sum()) > 0
-
-    parts = None
-    if SLOT.search(text):
-        parts = segments(text)
-        if any(SLOT.search(s) and positive(s, k) for k, s in enumerate(parts)):
-            return "slot"
-    parts = segments(text) if parts is None else parts
-    total = sum(len(s) for k, s in enumerate(parts) if not is_heading(s, k))
+    parts = segments(text)
+    if SLOT.search(text) and any(SLOT.search(s) and scorer.positive(s, k) for k, s in enumerate(parts)):
+        return "slot"
+    body = [(s, k) for k, s in enumerate(parts) if not (k == 0 or s[0] == "#") or not is_heading(s, k)]
+    total = sum(len(s) for s, _ in body)
     bad = good = 0
-    for k, s in enumerate(parts):
-        if is_heading(s, k):
-            continue
-        if positive(s, k):
+    for s, k in sorted(body, key=lambda b: -len(b[0])):
+        if scorer.positive(s, k):
             bad += len(s)
         else:
             good += len(s)
@@ -176,9 +179,9 @@ def judge(text: str, weight: np.ndarray, features: Features) -> str | None:
 
 def _judged(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        scorer = Scorer(weights.value)
         for batch in batches:
-            kinds = [judge(t, weights.value, features) for t in batch.column(1).to_pylist()]
+            kinds = [judge(t, scorer) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], names=["doc_id", "kind"])
 
     return run
@@ -189,28 +192,29 @@ def _held_host(source: str | None) -> bool:
 
 
 def _sample(docs: DataFrame) -> list[tuple[str | None, str]]:
-    """At most 2 * SAMPLE documents for the driver: SAMPLE that may have cues or slots, SAMPLE of the others."""
-    rows = docs.select("doc_id", "source", "text").filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    maybe = F.lower("text").rlike(r"[45]\d\d |script|not found|introuvable|gefunden|encontrada|denied|refus|verweigert|wrong|could not|available|expired|wandered|lorem|ipsum|placeholder|here|soon|sample|beispiel|ejemplo|provisoire|later|draft|页面|系统|填写|tbd|blah|asdf|zzz|text text|\{|<[a-z]|\[[a-z]|%[a-z(]|@@|\$\$|__[a-z]|«|\(fill|\(insert|\(enter|\(your")
+    """At most SAMPLE + OTHERS documents for the driver, each of at most SAMPLE_CHARS characters."""
     order = F.xxhash64("doc_id", F.lit(SEED))
-    out = []
-    for part in (rows.filter(maybe), rows.filter(~maybe)):
-        out += [(r.source, r.text) for r in part.orderBy(order, "doc_id").limit(SAMPLE).collect()]
-    return out
-
-
-def fit(docs: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
-    """(weights, counts on held-out hosts: tp, fp, fn, tn, and train: segments trained on)."""
-    features = Features()
+    share = min(1.0, LOOKED / max(1, docs.count()))
+    drawn = docs.filter(order < int((2 * share - 1) * (2**63 - 1))) if share < 1 else docs
+    rows = drawn.select("doc_id", "source", "text", order.alias("o")).filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+    maybe = F.lower("text").rlike(CUES.pattern) | F.col("text").rlike(r"\{\{|[$#]\{|\{[a-z%]|<[a-z]+[ _a-z]*>|<[<%]|\[[A-Za-z\[]|%[A-Za-z(]|@@|\$\$|__[A-Z]|«|\((?:fill|insert|enter|your)\b")
+    # one pass; what is shuffled are the LOOKED documents at most
+    place = F.row_number().over(Window.partitionBy("maybe").orderBy("o", "doc_id"))
+    kept = rows.withColumn("maybe", maybe).withColumn("k", place).filter(F.col("k") <= F.when(F.col("maybe"), SAMPLE).otherwise(OTHERS))
+    return [(r.source, r.text) for r in kept.orderBy("o", "doc_id").select("source", "text").collect()]
+
+
+def fit(docs: DataFrame, validate: bool = False) -> tuple[np.ndarray, dict[str, int]]:
+    """(weights, counts): trained on all hosts, or, to validate, on some, with tp, fp, fn, tn on the others."""
     rows: list[tuple[list[int], int]] = []
     held: list[tuple[list[int], int]] = []
     seen: dict[tuple[str, int], int] = {}
     for source, text in _sample(docs):
         for s, k, y in weak_labels(text):
-            key = (s, y)
-            seen[key] = seen.get(key, 0) + 1
-            if seen[key] <= 20:
-                (held if _held_host(source) else rows).append((features(s, k), y))
+            seen[s, y] = seen.get((s, y), 0) + 1
+            if seen[s, y] <= 20:
+                (held if validate and _held_host(source) else rows).append((list(set(map(number, names(s, k)))), y))
+    rows = [(sorted(f), y) for f, y in rows]
     weight = train(rows)
     counts = {"tp": 0, "fp": 0, "fn": 0, "tn": 0, "train": len(rows)}
     for f, y in held:
@@ -247,7 +251,7 @@ def residue_report(docs: DataFrame) -> DataFrame:
 
 def validation(docs: DataFrame) -> DataFrame:
     """One row: segments trained on, and precision and recall against weak labels on hosts that weren't trained on."""
-    _, n = fit(docs)
+    _, n = fit(docs, validate=True)
     rate = lambda a, b: float(a / b) if b else None
     row = (n["train"], n["tp"] + n["fp"] + n["fn"] + n["tn"], rate(n["tp"], n["tp"] + n["fp"]), rate(n["tp"], n["tp"] + n["fn"]))
     return docs.sparkSession.createDataFrame([row], "trained_on long, validated_on long, precision double, recall double")
