@@ -28,14 +28,15 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     line counts every line of a file from 1, ordinal those that aren't blank from 0; value is null where a line isn't JSON.
     A file is one task's work (its lines need their numbers); many files are read in parallel.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    kept = F.transform(F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw"))), lambda x: trimmed(x["raw"]) != ""), lambda x, i: F.struct(x["line"].alias("line"), i.alias("ordinal"), x["raw"].alias("raw")))
-    return text.select("file", F.explode(kept).alias("x")).select("file", "x.line", "x.ordinal", "x.raw", F.try_parse_json("x.raw").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw")))
+    kept = F.filter(numbered, lambda x: trimmed(x["raw"]) != "")
+    return text.select("file", F.posexplode(kept).alias("ordinal", "x")).select("file", "x.line", "ordinal", "x.raw", F.try_parse_json("x.raw").alias("value"))
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
     """The same of files that hold one JSON array each; line is the element's number from 1. A file that isn't one gives no rows."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     each = F.try_variant_get("v", "$", "array<variant>")
     return text.select("file", F.posexplode(each).alias("k", "value")).select("file", (F.col("k") + 1).alias("line"), F.col("k").alias("ordinal"), F.to_json("value").alias("raw"), "value")
 
