@@ -9,6 +9,7 @@ batches). Both levels aggregate before they shuffle, and what is shuffled is 24
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,25 @@ from veritrace.runtime import materialize
 
 #: Letters and digits of the histogram; any choice is right, these split well in Latin scripts.
 HISTOGRAM = "eanrt029"
+_MARKS = re.compile(r"[\W_]+")
+
+
+#: Letters that case folding writes as several, but for the sharp s, which is treated by itself because it is frequent.
+_LONG = {chr(c): chr(c).casefold() for c in range(0x80, 0x110000) if len(chr(c).casefold()) > 1 and chr(c) not in "ßẞ"}
+
+#: Letters that case folding changes although they are in lower case (final sigma, long s and the like).
+_VARIANTS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold() and len(c.casefold()) == 1}
+
+
+def folded(c: Column) -> Column:
+    """Without difference of case: equal wherever Python's case folding is equal on letters and digits."""
+    x = F.when(c.rlike("[ßẞ]"), F.regexp_replace(c, "[ßẞ]", "ss")).otherwise(c)
+    rare = x
+    for letter, fold in _LONG.items():
+        rare = F.replace(rare, F.lit(letter), F.lit(_MARKS.sub("", fold)))
+    x = F.when(x.rlike("[" + "".join(_LONG) + "]"), rare).otherwise(x)
+    x = F.lower(x)
+    return F.when(F.octet_length(x) > F.length(x), F.translate(x, "".join(_VARIANTS), "".join(_VARIANTS.values()))).otherwise(x)
 
 
 def cheap_class(content: Column) -> Column:
@@ -31,7 +51,7 @@ def cheap_class(content: Column) -> Column:
     decoded = F.when(F.ltrim(content).rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(content)), content)).otherwise(content)
     # written again, control characters and quotes are escapes; their letters must not count
     plain = F.when(decoded.contains("\\"), F.regexp_replace(decoded, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(decoded)
-    bare = F.translate(F.lower(F.upper(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", ""))), "ς", "σ")
+    bare = folded(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", ""))
     size = F.length(bare)
     return F.xxhash64(size, F.octet_length(bare), *[size - F.length(F.replace(bare, F.lit(c), F.lit(""))) for c in HISTOGRAM])
 

@@ -126,7 +126,7 @@ _SIGN = rf"""
               if(e3 <= {ALMOST_NEVER} * n3 or (e3 <= 3 and e3 <= 0.2 * n3 and n2 >= {ENOUGH_ENDED} and e2 <= {ALMOST_NEVER} * n2), 'mid-sentence', null)
          when length(last) <= 2 and c rlike r'^\p{{L}}' and nr >= {ENOUGH} and er <= {ALMOST_NEVER} * nr then 'mid-word'
          when n2 >= {ENOUGH} then if(e2 <= {ALMOST_NEVER} * n2, 'mid-sentence', null)
-         when n1 >= {ENOUGH} and e1 <= {ALMOST_NEVER} * n1 then 'mid-sentence'
+         when n1 >= {ENOUGH} and c not like '<%' and e1 <= {ALMOST_NEVER} * n1 then 'mid-sentence'
     end
 """
 
