@@ -18,7 +18,7 @@ is no sign: whole texts reach it too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.runtime import materialize
@@ -48,34 +48,27 @@ def _evidence(texts: DataFrame, n_texts: int, name: str) -> DataFrame:
     rare = max(RARE_LEAST, int(RARE_SHARE * n_texts))
     view: dict[str, DataFrame] = {"texts": texts}
     sql = lambda query: spark.sql(query, **view)
-    # bounded by tokens of a text / RARE_SHARE, not by the number of texts
-    view["vocabulary"] = materialize(
-        sql(
-            r"select word from (select explode(array_distinct(w)) as word from {texts}) where word rlike r'\p{{L}}' and not word rlike r'\p{{N}}' group by word "
-            + f"having count(*) >= {rare}"
-        ),
-        f"cut-vocabulary-{name}",
-    )
-    view["spots"] = sql(
-        r"""
-        select t.key, t.k, t.raw,
-               case when t.raw rlike r'^[.?!。？！]+$' then '<.>'
-                    when t.raw rlike r'^\p{{N}}+$' then '<n>'
-                    when t.raw rlike r'\p{{N}}' then '<c>'
-                    when not t.raw rlike r'\p{{L}}' then t.raw
-                    when v.word is null then '<r>' else t.raw end as shape
-        from (select key, posexplode(w) as (k, raw) from {texts}) t
-        left join {vocabulary} v on t.raw = v.word
-        """
+    # A word of the vocabulary is in RARE_SHARE of the texts, so there are at most (words of a text) / RARE_SHARE of them,
+    # however many texts there are; they go into the plan as a hash set, and no token is shuffled for them.
+    words = sql(
+        r"select word from (select explode(array_distinct(w)) as word from {texts}) where word rlike r'\p{{L}}' and not word rlike r'\p{{N}}' group by word "
+        + f"having count(*) >= {rare}"
     )
-    view["shaped"] = materialize(sql("select key, array_sort(collect_list(struct(k, shape, raw))) as s from {spots} group by key"), f"cut-shaped-{name}")
+    vocabulary = sorted(r.word for r in words.collect())
+
+    def shape(x: Column) -> Column:
+        return (
+            F.when(x.isin(vocabulary), x).when(x.rlike(r"^[.?!。？！]+$"), "<.>").when(x.rlike(r"^\p{N}+$"), "<n>").when(x.rlike(r"\p{N}"), "<c>").when(~x.rlike(r"\p{L}"), x).otherwise("<r>")
+        )
+
+    view["shaped"] = materialize(texts.filter(F.size("w") > 0).select("key", F.transform("w", shape).alias("s"), F.when(F.size("w") > 1, F.slice("w", -2, 2)).otherwise(F.col("w")).alias("ends")), f"cut-shaped-{name}")
     view["grams"] = materialize(
         sql(
             """
-            select if(k > 1, s[k - 2].shape, '<s>') as a, if(k > 0, s[k - 1].shape, '<s>') as b, s[k].shape as c,
-                   count(*) as n, count_if(k = size(s) - 1 or s[k + 1].shape = '<.>') as e
-            from (select s, explode(sequence(0, size(s) - 1)) as k from {shaped} where size(s) > 0)
-            where s[k].shape <> '<.>'
+            select if(k > 1, s[k - 2], '<s>') as a, if(k > 0, s[k - 1], '<s>') as b, s[k] as c,
+                   count(*) as n, count_if(k = size(s) - 1 or s[k + 1] = '<.>') as e
+            from (select s, explode(sequence(0, size(s) - 1)) as k from {shaped})
+            where s[k] <> '<.>'
             group by 1, 2, 3
             """
         ),
@@ -87,9 +80,9 @@ def _evidence(texts: DataFrame, n_texts: int, name: str) -> DataFrame:
     view["last"] = materialize(
         sql(
             """
-            select key, ended, s[z].raw as last, if(z > 1, s[z - 2].shape, '<s>') as a, if(z > 0, s[z - 1].shape, '<s>') as b, s[z].shape as c
-            from (select *, size(s) - if(s[size(s) - 1].shape = '<.>', 2, 1) as z, s[size(s) - 1].shape = '<.>' as ended from {shaped} where size(s) > 0)
-            where z >= 0 and s[z].shape <> '<.>'
+            select key, ended, element_at(ends, if(ended, -2, -1)) as last, if(z > 1, s[z - 2], '<s>') as a, if(z > 0, s[z - 1], '<s>') as b, s[z] as c
+            from (select *, size(s) - if(s[size(s) - 1] = '<.>', 2, 1) as z, s[size(s) - 1] = '<.>' as ended from {shaped})
+            where z >= 0 and s[z] <> '<.>'
             """
         ),
         f"cut-last-{name}",
