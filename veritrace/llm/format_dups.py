@@ -31,29 +31,45 @@ _LONG = {chr(c): chr(c).casefold() for c in range(0x80, 0x110000) if len(chr(c).
 _VARIANTS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold() and len(c.casefold()) == 1}
 
 
-def folded(c: Column) -> Column:
-    """Without difference of case: equal wherever Python's case folding is equal on letters and digits."""
-    x = F.when(c.rlike("[ßẞ]"), F.regexp_replace(c, "[ßẞ]", "ss")).otherwise(c)
-    rare = x
+def _near(letters) -> str:
+    """A class of a few ranges that holds all the letters (and some others): a quick test whether any can occur."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if ranges and c - ranges[-1][1] <= 64:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+def folded(rows: DataFrame, col: str) -> DataFrame:
+    """col without difference of case: equal wherever Python's case folding is equal on letters and digits.
+
+    Each step is a projection of its own, so that a text is taken through it once.
+    """
+    c = F.col(col)
+    wide = F.octet_length(c) > F.length(c)
+    rows = rows.withColumn(col, F.when(wide & c.rlike("[ßẞ]"), F.regexp_replace(c, "[ßẞ]", "ss")).otherwise(c))
+    rare = c
     for letter, fold in _LONG.items():
         rare = F.replace(rare, F.lit(letter), F.lit(_MARKS.sub("", fold)))
-    x = F.when(x.rlike("[" + "".join(_LONG) + "]"), rare).otherwise(x)
-    x = F.lower(x)
-    return F.when(F.octet_length(x) > F.length(x), F.translate(x, "".join(_VARIANTS), "".join(_VARIANTS.values()))).otherwise(x)
+    rows = rows.withColumn(col, F.when(wide & c.rlike(_near(_LONG)), rare).otherwise(c)).withColumn(col, F.lower(c))
+    return rows.withColumn(col, F.when(wide & c.rlike(_near(_VARIANTS)), F.translate(c, "".join(_VARIANTS), "".join(_VARIANTS.values()))).otherwise(c))
 
 
-def cheap_class(content: Column) -> Column:
-    """64-bit class of what formatting can't change: equal for equal records, mostly different for others.
+def cheap_class(rows: DataFrame, text: str = "text", name: str = "c1") -> DataFrame:
+    """Replaces text by the 64-bit class of what formatting can't change: equal for equal records, mostly different for others.
 
     JSON is decoded and written again by the variant parser, so that escapes and indentation are gone; the order of
     fields doesn't matter to a count. Text that doesn't parse is taken as it is.
     """
-    decoded = F.when(F.ltrim(content).rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(content)), content)).otherwise(content)
+    c = F.col(text)
+    rows = rows.withColumn(text, F.when(F.ltrim(c).rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(c)), c)).otherwise(c))
     # written again, control characters and quotes are escapes; their letters must not count
-    plain = F.when(decoded.contains("\\"), F.regexp_replace(decoded, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(decoded)
-    bare = folded(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", ""))
-    size = F.length(bare)
-    return F.xxhash64(size, F.octet_length(bare), *[size - F.length(F.replace(bare, F.lit(c), F.lit(""))) for c in HISTOGRAM])
+    rows = rows.withColumn(text, F.when(c.contains("\\"), F.regexp_replace(c, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(c))
+    rows = folded(rows.withColumn(text, F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")), text)
+    size = F.length(c)
+    return rows.withColumn(name, F.xxhash64(size, F.octet_length(c), *[size - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in HISTOGRAM])).drop(text)
 
 
 def _digests(batches):
@@ -75,7 +91,7 @@ def refine(items: DataFrame, id_col: str = "item_id", text_col: str = "content")
     to be unique; repeated rows of one id are collapsed). Other columns of items are ignored.
     """
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null and id is not null")
-    level1 = materialize(rows.select("id", cheap_class(F.col("text")).alias("c1")), "dup-level1")
+    level1 = materialize(cheap_class(rows), "dup-level1")
     several = level1.groupBy("c1").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("c1")
     several = materialize(several, "dup-classes")
     left = materialize(semi_checked(level1, several, "c1").select("id").distinct(), "dup-open")
