@@ -22,6 +22,8 @@ STRUCT = r"(?i)<(/?(?:analysis|label)>)"
 BOUND = r"(?i)<(/?untrusted_trajectory>)"
 CANON = r"(?s)\A\s*<analysis>\s*(.*?)\s*</analysis>\s*<label>(safe|unsafe)</label>\s*\z"
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0  -     　]+"
+#: The same characters, to trim by.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 OPEN, CLOSE = "<untrusted_trajectory>", "</untrusted_trajectory>"
 TARGET_TAGS = ("<analysis>", "</analysis>", "<label>", "</label>")
 INVALID = "__invalid__"
@@ -29,7 +31,7 @@ INVALID = "__invalid__"
 
 def trimmed(c: Column) -> Column:
     """Without white space at both ends, as Python strips it."""
-    return F.regexp_replace(c, rf"^{WS}|{WS}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapsed(c: Column) -> Column:
@@ -79,22 +81,15 @@ def strict_response(c: Column, empty_ok: bool = False) -> Column:
     Errors, in this order: response_not_string (null), noncanonical_sections, empty_analysis (unless empty_ok),
     nested_output_section.
     """
-    shape = c.rlike(CANON)
     analysis = trimmed(F.regexp_extract(c, CANON, 1))
-    nested = F.lit(False)
-    for tag in TARGET_TAGS:
-        nested = nested | F.contains(F.lower(analysis), F.lit(tag))
-    error = F.when(c.isNull(), "response_not_string").when(~shape, "noncanonical_sections")
+    label = F.regexp_extract(c, CANON, 2)  # '' where the shape is another one
+    nested = F.lower(analysis).rlike("</?(?:analysis|label)>")
+    error = F.when(c.isNull(), "response_not_string").when(label == "", "noncanonical_sections")
     if not empty_ok:
         error = error.when(analysis == "", "empty_analysis")
     error = error.when(nested, "nested_output_section")
     valid = error.isNull()
-    return F.struct(
-        valid.alias("valid"),
-        F.when(valid, analysis).alias("analysis"),
-        F.when(valid, F.regexp_extract(c, CANON, 2)).alias("label"),
-        error.alias("error"),
-    )
+    return F.struct(valid.alias("valid"), F.when(valid, analysis).alias("analysis"), F.when(valid, label).alias("label"), error.alias("error"))
 
 
 def neutral_tags(c: Column) -> Column:

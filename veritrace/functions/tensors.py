@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ REWARD_RIGHT, REWARD_WRONG, REWARD_MALFORMED = 1.0, -1.0, -1.25
 TAIL = 12
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it (inside a lambda too)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strict_reward(valid: Column, label: Column, target: Column) -> Column:
     """Reward of a strictly parsed response; null if the target isn't a label."""
     r = F.when(~F.coalesce(valid, F.lit(False)), REWARD_MALFORMED).when(label == target, REWARD_RIGHT).otherwise(REWARD_WRONG)
@@ -25,7 +32,7 @@ def valid_length(mask: Column) -> Column:
 def terminal_reward(reward: Column, mask: Column) -> Column:
     """Zeros but for the reward at the last valid place (the first one if none is valid)."""
     at = F.greatest(valid_length(mask) - 1, F.lit(0))
-    return F.transform(mask, lambda m, i: F.when(i == at, reward).otherwise(0.0))
+    return let(at, lambda k: F.transform(mask, lambda m, i: F.when(i == k, reward).otherwise(0.0)))
 
 
 def centred_advantage(df: DataFrame, batch: str, reward: str = "reward") -> DataFrame:
@@ -42,12 +49,12 @@ def on_tokens(value: Column, mask: Column) -> Column:
 def label_region(mask: Column, tail: int = TAIL) -> Column:
     """True on the last `tail` valid places; the valid ones come first (padding is on the right)."""
     start = F.greatest(valid_length(mask) - tail, F.lit(0))
-    return F.transform(mask, lambda m, i: m & (i >= start))
+    return let(start, lambda k: F.transform(mask, lambda m, i: m & (i >= k)))
 
 
 def analysis_region(mask: Column, tail: int = TAIL) -> Column:
     start = F.greatest(valid_length(mask) - tail, F.lit(0))
-    return F.transform(mask, lambda m, i: m & (i < start))
+    return let(start, lambda k: F.transform(mask, lambda m, i: m & (i < k)))
 
 
 def importance_ratio(new: Column, old: Column) -> Column:
@@ -66,7 +73,7 @@ def clipped_terms(new: Column, old: Column, advantage: Column, low: float, high:
 def masked_mean(values: Column, mask: Column) -> Column:
     """Mean of the values where the mask is set, 0 where it is nowhere."""
     kept = F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda x: x["m"])
-    return ratio(F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["v"]), F.size(kept))
+    return let(kept, lambda k: ratio(F.aggregate(k, F.lit(0.0), lambda a, x: a + x["v"]), F.size(k)))
 
 
 def region_loss(df: DataFrame, batch: str, terms: str = "terms", mask: str = "mask", weight: float = 2.0, tail: int = TAIL) -> DataFrame:
@@ -79,10 +86,11 @@ def region_loss(df: DataFrame, batch: str, terms: str = "terms", mask: str = "ma
 def loss_diagnostics(df: DataFrame, batch: str, low: float, high: float) -> DataFrame:
     """Per batch over valid tokens: mean negative log ratio, share of clipped ratios, share of responses with an advantage."""
     r = importance_ratio(F.col("new"), F.col("old"))
-    kept = F.filter(F.arrays_zip(r.alias("r"), F.col("mask").alias("m")), lambda x: x["m"])
-    per = df.select(
-        batch, "advantage", F.size(kept).alias("n"), F.aggregate(kept, F.lit(0.0), lambda a, x: a - F.ln(x["r"])).alias("kl"),
-        F.size(F.filter(kept, lambda x: (x["r"] < 1.0 - low) | (x["r"] > 1.0 + high))).alias("c"),
+    kept = df.select(batch, "advantage", F.filter(F.arrays_zip(r.alias("r"), F.col("mask").alias("m")), lambda x: x["m"]).alias("k"))
+    k = F.col("k")
+    per = kept.select(
+        batch, "advantage", F.size(k).alias("n"), F.aggregate(k, F.lit(0.0), lambda a, x: a - F.ln(x["r"])).alias("kl"),
+        F.size(F.filter(k, lambda x: (x["r"] < 1.0 - low) | (x["r"] > 1.0 + high))).alias("c"),
     )
     return per.groupBy(batch).agg(
         F.round(ratio(F.sum("kl"), F.sum("n")), DIGITS).alias("kl"), F.round(ratio(F.sum("c"), F.sum("n")), DIGITS).alias("clip_share"),
@@ -92,10 +100,15 @@ def loss_diagnostics(df: DataFrame, batch: str, low: float, high: float) -> Data
 
 def weighted_mean_loss(loss: Column, mask: Column, last: int, weight: float) -> Column:
     """Mean of the valid losses, the last `last` of them weighted; the divisor is at least 1."""
-    n = valid_length(mask)
-    pairs = F.transform(F.filter(F.arrays_zip(loss.alias("v"), mask.alias("m")), lambda x: x["m"]), lambda x, i: F.struct(x["v"].alias("v"), F.when(i >= n - last, weight).otherwise(1.0).alias("w")))
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["v"] * x["w"])
-    return total / F.greatest(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["w"]), F.lit(1.0))
+    kept = F.filter(F.arrays_zip(loss.alias("v"), mask.alias("m")), lambda x: x["m"])
+
+    def weigh(k: Column) -> Column:
+        first = F.size(k) - last
+        total = F.aggregate(F.transform(k, lambda x, i: x["v"] * F.when(i >= first, weight).otherwise(1.0)), F.lit(0.0), lambda a, x: a + x)
+        heavy = F.least(F.size(k), F.lit(last))
+        return total / F.greatest(F.size(k) - heavy + heavy * F.lit(float(weight)), F.lit(1.0))
+
+    return let(kept, weigh)
 
 
 def distinct_ids(ids: Column) -> Column:
