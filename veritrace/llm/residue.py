@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from veritrace.llm.records import HAN
 
 #: Hash space of the features.
-SPACE = 1 << 18
+SPACE = 1 << 20
 #: The bounded sample: about LOOKED documents are drawn by a seeded hash, none of more than SAMPLE_CHARS characters; of
 #: them at most SAMPLE that may have cues or slots and OTHERS of the rest are labelled.
 LOOKED, SAMPLE, OTHERS, SAMPLE_CHARS, SEED = 20_000, 4_000, 2_000, 20_000, 11
@@ -45,7 +45,7 @@ CUES = re.compile(
     r"could not (?:be (?:located|satisfied)|load)|no longer available|did not respond in time|session has expired|connection refused|failed to render|wandered off|down for maintenance|"
     r"页面不存在|系统繁忙|访问被拒绝|服务器错误|javascript|noscript|scripts? (?:are|is) (?:blocked|disabled)|turn on scripts|allow scripting|supports scripting|scripts and cookies|"
     r"lorem|ipsum|placeholder|goes here|coming soon|sample text|beispieltext|texto de ejemplo|texte provisoire|to be written later|draft body|no content yet|in this box|此处填写|占位|"
-    r"\b(tbd|todo|text|blah|test|dummy|xxx|zzz|asdf|foo)(?: \1){2,}|\b(?:asdf|blah|zzz|xxx|jkl;?|dummy|abc123|qwerty)(?: (?:asdf|blah|zzz|xxx|test|jkl;?|dummy|abc123|qwerty)){2,}",
+    r"\b(tbd|todo|text|blah|test|dummy|xxx|zzz|asdf|foo)(?: \1){2,}|\b(?:asdf|blah|zzz|xxx|test|jkl;?|dummy|abc123|qwer|qwerty|foo|bar)(?: (?:asdf|blah|zzz|xxx|test|jkl;?|dummy|abc123|qwer|qwerty|foo|bar)){2,}",
 )
 #: The ways in which a slot is written.
 _NAME = r"[A-Za-z][\w.-]*(?: [A-Za-z][\w.-]*){0,5}"
@@ -59,9 +59,11 @@ SLOT = re.compile(
 _SPOKEN = re.compile(r"`|\bexport \w|\bselect\b.*\bfrom\b|\blike '|\bdef \w|\breturn f?[\"']|f[\"'].*\{|\bforbids?\b|\bfields? are\b|\bis expanded\b|\bcontains?\b|\bvariables?\b|\bplaceholders? (?:named|called)|\bsyntax\b|\btemplate file\b")
 _TAG = re.compile(r"</?(?:html|head|body|title|h[1-6]|p|div|span|br|hr|li|ul|ol|td|tr|th|table|a|b|i|em|strong|pre|code|meta|img|style|script|noscript)\b[^<>]*>", re.I)
 _SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+(?=\S)|(?<=[。！？])|\s{2,}")
-_TOKEN = re.compile(f"\x01|[{HAN}]|[^\\W\\d_{HAN}]+|\\d+|[|©]")
+#: Words; a path, a name with dots inside and a mix of letters and digits are one each.
+_TOKEN = re.compile(f"\x01|[{HAN}]|[~.]?/[a-z0-9_./-]+|[a-z0-9_-]+(?:\\.[a-z0-9_-]+)+|[a-z]+\\d[a-z\\d]*|\\d+[a-z][a-z\\d]*|[^\\W\\d_{HAN}]+|\\d+|[|©]")
 _STATUS = re.compile(r"[45]\d\d")
 _HAN = re.compile(f"[{HAN}]")
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def segments(text: str) -> list[str]:
@@ -76,12 +78,40 @@ def is_heading(segment: str, place: int) -> bool:
     return segment.startswith("#") or (place == 0 and len(segment) <= 40 and segment[-1] not in ".!?。！？…" and not CUES.search(segment.lower()) and not SLOT.search(segment))
 
 
+def _kind(word: str) -> str:
+    """Of a token that isn't letters alone."""
+    if word.isdigit():
+        return "<status>" if _STATUS.fullmatch(word) else "<n>" if len(word) < 7 else "<code>"
+    return word if len(word) == 1 else "<path>" if "/" in word else "<host>" if "." in word else "<code>"
+
+
+def words_of(segment: str) -> set[str]:
+    """The word features of a segment by name: 1-grams and 2-grams, with slots and numbers as words."""
+    words = [w if w.isalpha() else _kind(w) for w in _TOKEN.findall(SLOT.sub(" \x01 ", segment).lower())]
+    return {*words, *map("{} {}".format, words, words[1:])}
+
+
+def script_of(segment: str) -> str:
+    """Of most letters: latin, han, other, or none without letters."""
+    if segment.isascii():
+        return "latin" if _LETTER.search(segment) else "none"
+    letters = [c for c in segment if c.isalpha()]
+    if not letters:
+        return "none"
+    latin = sum(c < "\u0250" for c in letters)
+    han = len(_HAN.findall(segment))
+    return "latin" if 2 * latin >= len(letters) else "han" if 2 * han >= len(letters) else "other"
+
+
+def shape_of(segment: str, place: int) -> tuple[str, ...]:
+    """Its length, script and title features, and the bias."""
+    n = segment.count(" ") + 1
+    script = script_of(segment)
+    return (f"len:{min(9, n.bit_length())}", f"end:{segment[-1] in '.!?。！？'}", f"title:{place == 0}:{n < 8}", f"script:{script}", f"script:{script}:{min(9, n.bit_length())}", "bias")
+
+
 def names(segment: str, place: int) -> set[str]:
-    """The features of a segment by name: word 1-grams and 2-grams, with slots and numbers as words, length and title."""
-    words = [("<status>" if _STATUS.fullmatch(w) else "<n>") if w.isdigit() else w for w in _TOKEN.findall(SLOT.sub(" \x01 ", segment).lower())]
-    out = {*words, *map("{} {}".format, words, words[1:])}
-    out.update((f"len:{min(9, len(words).bit_length())}", f"end:{segment[-1] in '.!?。！？'}", f"title:{place == 0}:{len(words) < 8}", "bias"))
-    return out
+    return words_of(segment).union(shape_of(segment, place))
 
 
 def number(name: str) -> int:
@@ -108,19 +138,25 @@ class Scorer(dict):
 def weak_labels(text: str) -> list[tuple[str, int, int]]:
     """(segment, place, label) of the segments that weak labels decide.
 
-    A cue tells in a segment of at most BRIEF words, or where it recurs (filler); in a longer sentence it is quoted.
+    A cue tells in a segment of at most BRIEF words, or where cues recur or are most of it (filler); in a longer sentence
+    it is quoted.
     """
     parts = segments(text)
     if not CUES.search(text.lower()) and not SLOT.search(text):
         return [(s, k, 0) for k, s in enumerate(parts) if not is_heading(s, k)]
     slots = [len(SLOT.findall(s)) for s in parts]
     brief = [len(_HAN.sub("", s).split()) + len(_HAN.findall(s)) / 3 <= BRIEF for s in parts]
-    cued = [bool(CUES.search(s.lower())) if brief[k] else sum(1 for _ in CUES.finditer(s.lower())) > 2 for k, s in enumerate(parts)]
+    cued, quoted = [], []
+    for k, s in enumerate(parts):
+        found = [len(m[0]) for m in CUES.finditer(s.lower())]
+        quoted.append(bool(found))
+        cued.append(bool(found) if brief[k] else len(found) > 2 or sum(found) >= 0.4 * len(s))
     out = []
     plain = [(s, k) for k, s in enumerate(parts) if not slots[k] and not is_heading(s, k)]
     size = sum(len(s) for s, _ in plain)
     covered = sum(len(s) for s, k in plain if cued[k])
-    label = 0 if covered <= 0.1 * size else 1 if covered >= 0.15 * size and all(brief[k] or cued[k] for _, k in plain) else None
+    unsure = sum(len(s) for s, k in plain if quoted[k] and not cued[k])
+    label = 0 if covered <= 0.1 * size and unsure <= 0.5 * size else 1 if covered >= 0.15 * size and all(brief[k] or cued[k] for _, k in plain) else None
     if label is not None:
         out += [(s, k, label) for s, k in plain]
     for k, s in enumerate(parts):
@@ -207,18 +243,21 @@ def _sample(docs: DataFrame) -> list[tuple[str | None, str]]:
 def fit(docs: DataFrame, validate: bool = False) -> tuple[np.ndarray, dict[str, int]]:
     """(weights, counts): trained on all hosts, or, to validate, on some, with tp, fp, fn, tn on the others."""
     rows: list[tuple[list[int], int]] = []
-    held: list[tuple[list[int], int]] = []
+    held: list[tuple[str, int, int]] = []
     seen: dict[tuple[str, int], int] = {}
     for source, text in _sample(docs):
         for s, k, y in weak_labels(text):
             seen[s, y] = seen.get((s, y), 0) + 1
             if seen[s, y] <= 20:
-                (held if validate and _held_host(source) else rows).append((list(set(map(number, names(s, k)))), y))
-    rows = [(sorted(f), y) for f, y in rows]
+                if validate and _held_host(source):
+                    held.append((s, k, y))
+                else:
+                    rows.append((sorted(set(map(number, names(s, k)))), y))
     weight = train(rows)
     counts = {"tp": 0, "fp": 0, "fn": 0, "tn": 0, "train": len(rows)}
-    for f, y in held:
-        p = float(weight[f].sum()) > 0
+    scorer = Scorer(weight)
+    for s, k, y in held:
+        p = scorer.positive(s, k)
         counts[("tp" if p else "fn") if y else ("fp" if p else "tn")] += 1
     return weight, counts
 
