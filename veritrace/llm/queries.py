@@ -86,5 +86,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_report, p8_validation)}
 
 
+_WINDOWS = r"""
+(select distinct {id}, array_to_string(ws[i : i + 11], ' ') as k from (
+    select {id}, ws, unnest(range(1, len(ws) - 10)) as i from (select {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from {table} where text is not null) where len(ws) >= 12))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of those that have a form short of the operator itself; the others are tested against brute force."""
+    return {
+        "p4_found": "select distinct rl_id from rl_item r join (select trim(source) as source, min(max_chars) as most from split_limit where max_chars >= 1 group by 1) l on trim(r.source) = l.source "
+        "where coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) > most",
+        "p7_found": f"select distinct d.doc_id, e.item_id from {_WINDOWS.format(id='doc_id', table='documents')} d join {_WINDOWS.format(id='item_id', table='eval_passage')} e on d.k = e.k",
+    }
