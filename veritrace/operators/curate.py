@@ -106,7 +106,7 @@ def balanced_schedule(items: DataFrame, rounds: int, seed: int, key: str, source
     pool = items.select(key, source, label).join(F.broadcast(cycles), [source, label])
     # a stratum larger than `rounds` needs only its first rows, which the rank filter keeps per task before the shuffle
     order = Window.partitionBy(source, label, "cycle").orderBy(seeded_order(seed, F.col("cycle"), F.col(key)), key)
-    pool = pool.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).filter(F.col("pos") < rounds)
+    pool = pool.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= rounds).withColumn("pos", (F.col("_k") - 1).cast("long")).drop("_k")
     back = F.when(F.col("draw") % 2 == 0, F.col("k")).otherwise(F.lit(n_strata - 1) - F.col("k"))
     return draws.join(pool, [source, label, "cycle", "pos"]).select(
         key, source, label, "draw", (F.col("draw") >= F.col("n")).alias("is_repeat"), (F.col("draw").cast("long") * n_strata + back).alias("prepared_index")
