@@ -73,6 +73,15 @@ def test_classes_are_coarser_than_keys(spark):
     assert all(len(x) == 1 for x in of.values())
 
 
+def test_odd_spellings(spark):
+    rows = [
+        (1, "x", '\n\t[{"a": "caf\\u00e9 x"}]'), (2, "x", '[{"a":"CAFÉ\nX"}]'), (3, "x", '\ufeff[{"a":"café  x"}]'),
+        (4, "x", '{"a":"\\u00e9","a":"b"}'), (5, "x", '{"a":"b","a":"é"}'), (6, "x", '{"n":NaN,"t":"\\u00e9"}'), (7, "x", '{"t":"É","n":NaN}'),
+        (8, "x", "[broken"), (9, "x", "broken!"), (10, "x", "{other \\u00e9"),
+    ]
+    assert {tuple(r) for r in D.superfluous_pairs(table(spark, rows)).collect()} == {(1, 2), (1, 3), (4, 5), (6, 7), (8, 9)}
+
+
 def test_folding_of_every_letter(spark):
     from pyspark.sql import functions as F
 

@@ -61,10 +61,15 @@ def cheap_class(rows: DataFrame, text: str = "text", name: str = "c1") -> DataFr
     """Replaces text by the 64-bit class of what formatting can't change: equal for equal records, mostly different for others.
 
     JSON is decoded and written again by the variant parser, so that escapes and indentation are gone; the order of
-    fields doesn't matter to a count. Text that doesn't parse is taken as it is.
+    fields doesn't matter to a count. Text that doesn't parse is taken as it is; odd says that it looks like JSON, which
+    level 2 may be able to read (repeated field names, NaN), so that it can't be told apart by its class.
     """
     c = F.col(text)
-    rows = rows.withColumn(text, F.when(F.ltrim(c).rlike(r"^[\[{]"), F.coalesce(F.to_json(F.try_parse_json(c)), c)).otherwise(c))
+    # raw control characters, which the parser doesn't take, are white space wherever they stand
+    looks = c.rlike(r"^[\x{feff} \t\r\n]*[\[{]")
+    plain = F.btrim(F.when(c.rlike(r"[\x00-\x1f]"), F.regexp_replace(c, r"[\x00-\x1f]+", " ")).otherwise(c), F.lit("\ufeff "))
+    rows = rows.withColumn("_json", F.when(looks, F.to_json(F.try_parse_json(plain))))
+    rows = rows.withColumn("odd", looks & F.col("_json").isNull()).withColumn(text, F.coalesce("_json", c)).drop("_json")
     # written again, control characters and quotes are escapes; their letters must not count
     rows = rows.withColumn(text, F.when(c.contains("\\"), F.regexp_replace(c, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(c))
     rows = folded(rows.withColumn(text, F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")), text)
@@ -92,6 +97,8 @@ def refine(items: DataFrame, id_col: str = "item_id", text_col: str = "content")
     """
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null and id is not null")
     level1 = materialize(cheap_class(rows), "dup-level1")
+    # odd records are in a class of their own besides, so that all of them reach level 2 if there are two
+    level1 = level1.select("id", "c1").unionByName(level1.filter("odd").select("id", F.lit(0).cast("long").alias("c1")))
     several = level1.groupBy("c1").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("c1")
     several = materialize(several, "dup-classes")
     left = materialize(semi_checked(level1, several, "c1").select("id").distinct(), "dup-open")
