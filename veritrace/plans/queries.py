@@ -541,9 +541,10 @@ def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
 _ADV_SQL = f"(select *, reward - avg(reward) over (partition by source) as advantage, least(coalesce(generated_tokens, 0), 64) as v from {_SCORED_SQL})"
 
 
-def _batched(spark: SparkSession, d: str) -> DataFrame:
-    """Scored answers with token arrays: up to 64 valid places and 4 of padding, log probabilities by arithmetic."""
-    v = F.least(F.coalesce("generated_tokens", F.lit(0)), F.lit(64))
+def _batched(spark: SparkSession, d: str, most: int | None = 64) -> DataFrame:
+    """Scored answers with token arrays: the valid places (up to `most`, without it all) and 4 of padding, log probabilities by arithmetic."""
+    v = F.coalesce("generated_tokens", F.lit(0))
+    v = v if most is None else F.least(v, F.lit(most))
     rows = tensors.centred_advantage(_scored(spark, d), "source").withColumn("v", v).withColumn("mask", F.transform(F.sequence(F.lit(0), F.col("v") + 3), lambda i: i < F.col("v")))
     logp = lambda a, b, m, s: F.transform("mask", lambda _, i: -((F.col("audit_id") * a + i * b) % m).cast("double") / s)
     return rows.withColumn("new", logp(31, 17, 97, 40.0)).withColumn("old", logp(29, 13, 89, 37.0))
@@ -556,9 +557,19 @@ def batch_advantage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select audit_id, (v + 4)::int as length, v::int as valid, greatest(v - 1, 0)::int as reward_at, reward as reward_sum, round(advantage * v, 6) as advantage_sum, least(v, 12)::int as label_tokens, greatest(v - 12, 0)::int as analysis_tokens from {_ADV_SQL}")
 def token_regions(spark: SparkSession, d: str) -> DataFrame:
+    return _token_regions(_batched(spark, d))
+
+
+@query()
+def token_regions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Over every token of each answer; the SQL of the query without _whole stops at 64. Tests hold the _whole queries against loops."""
+    return _token_regions(_batched(spark, d, None))
+
+
+def _token_regions(batched: DataFrame) -> DataFrame:
     m = F.col("mask")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    t = _batched(spark, d).withColumn("t", tensors.terminal_reward(F.col("reward"), m))
+    t = batched.withColumn("t", tensors.terminal_reward(F.col("reward"), m))
     return t.select(
         "audit_id", F.size(m).alias("length"), tensors.valid_length(m).alias("valid"), (F.array_position(F.transform("t", lambda x: x != 0), True) - 1).cast("int").alias("reward_at"), total(F.col("t")).alias("reward_sum"),
         F.round(total(tensors.on_tokens(F.col("advantage"), m)), 6).alias("advantage_sum"), tensors.valid_length(tensors.label_region(m)).alias("label_tokens"), tensors.valid_length(tensors.analysis_region(m)).alias("analysis_tokens"),
@@ -573,7 +584,16 @@ _PER = f"(select a.audit_id, a.source, a.advantage, coalesce(avg(term) filter (w
 
 @query(f"select source, round(avg(ma), 6) as analysis_loss, round(avg(ml), 6) as label_loss, round(avg(ma) + 2 * avg(ml), 6) as loss, count(*) as n from {_PER} group by source")
 def region_loss(spark: SparkSession, d: str) -> DataFrame:
-    b = _batched(spark, d).withColumn("terms", tensors.clipped_terms(F.col("new"), F.col("old"), F.col("advantage"), LOW, HIGH))
+    return _region_loss(_batched(spark, d))
+
+
+@query()
+def region_loss_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _region_loss(_batched(spark, d, None))
+
+
+def _region_loss(batched: DataFrame) -> DataFrame:
+    b = batched.withColumn("terms", tensors.clipped_terms(F.col("new"), F.col("old"), F.col("advantage"), LOW, HIGH))
     return tensors.region_loss(b, "source").select("source", *[F.round(c, 6).alias(c) for c in ("analysis_loss", "label_loss", "loss")], "n")
 
 
@@ -582,14 +602,32 @@ def region_loss(spark: SparkSession, d: str) -> DataFrame:
     "select source, round(coalesce(kl / n, 0), 6) as kl, round(coalesce(c / n, 0), 6) as clip_share, round(act, 6) as active_share, round(ab, 6) as mean_abs_advantage from a left join s using (source)"
 )
 def loss_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    x = tensors.loss_diagnostics(_batched(spark, d), "source", LOW, HIGH)
+    return _loss_diagnostics(_batched(spark, d))
+
+
+@query()
+def loss_diagnostics_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _loss_diagnostics(_batched(spark, d, None))
+
+
+def _loss_diagnostics(batched: DataFrame) -> DataFrame:
+    x = tensors.loss_diagnostics(batched, "source", LOW, HIGH)
     return x.select("source", *[F.round(c, 6).alias(c) for c in ("kl", "clip_share", "active_share", "mean_abs_advantage")])
 
 
 @query(f"select a.audit_id, round(coalesce(x.s / greatest(x.w, 1), 0) + 1e-9, 6) as loss from {_ADV_SQL} a left join (select audit_id, sum(-new * case when i >= v - 12 then 4.0 else 1.0 end) as s, sum(case when i >= v - 12 then 4.0 else 1.0 end) as w from {_TOK} group by audit_id) x using (audit_id)")
 def weighted_ce(spark: SparkSession, d: str) -> DataFrame:
+    return _weighted_ce(_batched(spark, d))
+
+
+@query()
+def weighted_ce_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _weighted_ce(_batched(spark, d, None))
+
+
+def _weighted_ce(batched: DataFrame) -> DataFrame:
     loss = F.transform("new", lambda x: -x)
-    return _batched(spark, d).select("audit_id", F.round(tensors.weighted_mean_loss(loss, F.col("mask"), tensors.TAIL, 4.0) + 1e-9, 6).alias("loss"))
+    return batched.select("audit_id", F.round(tensors.weighted_mean_loss(loss, F.col("mask"), tensors.TAIL, 4.0) + 1e-9, 6).alias("loss"))
 
 
 # ---- truncation and ids
@@ -615,9 +653,18 @@ def truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
     "select audit_id, len(ids)::int as n, (len(ids) - coalesce(list_position(list_transform(list_reverse(ids), lambda x: x <> 0), true) - 1, len(ids)))::int as n_padding_before, len(list_distinct(list_filter(ids, lambda x: x >= 0)))::int as n_distinct, list_sum(ids[1:8])::bigint as prefix_sum, len(ids) > 8 as truncated from i"
 )
 def token_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _token_ids(spark, d, lambda g: g % 23)
+
+
+@query()
+def token_ids_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _token_ids(spark, d, lambda g: g)
+
+
+def _token_ids(spark: SparkSession, d: str, last: Callable[[Column], Column]) -> DataFrame:
     a = table(spark, d, "audit_result").select("audit_id", F.coalesce("generated_tokens", F.lit(0)).alias("g")).distinct()
     g = F.col("g")
-    ids = F.transform(F.sequence(F.lit(0), g % 23), lambda i: F.when(i >= g % 23 - g % 5, F.lit(0).cast("bigint")).otherwise((F.col("audit_id") + i * i) % 11 - 1))
+    ids = F.transform(F.sequence(F.lit(0), last(g)), lambda i: F.when(i >= last(g) - g % 5, F.lit(0).cast("bigint")).otherwise((F.col("audit_id") + i * i) % 11 - 1))
     x = a.withColumn("ids", ids)
     prefix = tensors.prefix_ids(F.col("ids"), 8)
     return x.select(
