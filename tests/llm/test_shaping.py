@@ -32,6 +32,27 @@ def test_cut_where_the_subject_changes():
     assert splitting.pieces("x" * 100, [], 30, 5) == [(0, 30, 0), (25, 55, 0), (50, 80, 0), (75, 100, 0)]
 
 
+def test_cut_in_the_first_part_before_a_hard_one():
+    run = "x" * 40
+    assert splitting.pieces("one two " + run, [], 40, 0) == [(0, 8, splitting.WORD), (8, 48, 0)]
+    assert splitting.pieces("End. one " + run, [], 40, 0)[0] == (0, 5, splitting.SENTENCE)
+    assert splitting.pieces("ab" + run, [2], 40, 0)[0] == (0, 2, splitting.EVENT)
+    assert splitting.pieces("表单" + run, [], 40, 0)[0] == (0, 1, splitting.WORD)
+    # a gap within the overlap would begin the same piece again
+    assert splitting.pieces("one two " + run, [], 40, 8)[0] == (0, 40, 0)
+    assert splitting.pieces("one two " + run, [], 40, 7)[:2] == [(0, 8, splitting.WORD), (1, 8 + 33, 0)]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet="xxxxxxxx .\n表", max_size=300), st.integers(2, 60), st.integers(0, 30))
+def test_hard_cuts_only_without_a_gap(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
+    for a, b, strength in splitting.pieces(text, [], limit, overlap)[:-1]:
+        if strength == splitting.NONE:
+            assert b == a + limit and not splitting.natural_gaps(text, []).keys() & set(range(a + overlap + 1, b + 1))
+            assert not any(a + overlap < m.end() <= b for m in splitting._GAP.finditer(text))
+
+
 def test_split_items(spark):
     rows = [
         (1, " s ", [("system", "a" * 30), ("user", "b " * 40)]), (2, "s", [("user", "x" * 50)]), (3, "s", [("user", "x" * 51)]), (4, "none", [("user", "x" * 500)]), (5, "s", None), (6, "s", []), (7, "s", [("user", None), ("user", "y" * 60), None]),

@@ -4,8 +4,10 @@ Only the items over their source's limit leave the JVM. Their text is the conten
 gaps are, from strong to weak, between messages or events, paragraphs, sentences and words (a Han character is a word).
 At every gap of sentence strength or more the words of the blocks on both sides are compared; where the similarity has
 a valley the subject changes. Within each size window the deepest valley is taken (of equal depth the stronger gap, then the
-later one), without such a gap the last one between words, without that the limit itself. The next piece starts
-`overlap` characters before the cut, so that pieces put together without their overlaps are the text again.
+later one), without such a gap the last one between words. They are looked for in the last part of the window; if it has
+none, the last gap before it is taken (one between words only without a stronger one), so that the piece is as long as it
+can be. The limit itself is the cut only where the whole window has no gap. The next piece starts `overlap` characters
+before the cut, so that pieces put together without their overlaps are the text again.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ _GAP = re.compile(f"\\s+|(?<=[{HAN}])(?=[{HAN}])")
 _TOKEN = re.compile(f"[{HAN}]|[^\\W\\d_{HAN}]+")
 #: Units (the text between two gaps) in a block on each side of a gap.
 BLOCK = 6
-#: A piece is cut in the last part of its window, from this share of the limit on.
+#: A piece is cut in the last part of its window, from this share of the limit on, if there is a gap.
 FILL = 0.5
 
 
@@ -90,16 +92,21 @@ def pieces(text: str, joints: list[int], limit: int, overlap: int) -> list[tuple
     gaps = natural_gaps(text, joints)
     places = sorted(gaps)
     depth = depths(text, places)
-    out, start = [], 0
-    while len(text) - start > limit:
-        low, high = start + max(overlap + 1, int(limit * FILL)), start + limit
+
+    def best(low: int, high: int, deepest: bool) -> tuple[int, int] | None:
         a, b = bisect_left(places, low), bisect_right(places, high)
         if a < b:
-            best = max(range(a, b), key=lambda i: (round(depth[i], 9), gaps[places[i]], i))
-            cut, strength = places[best], gaps[places[best]]
-        else:
-            ends = [m.end() for m in _GAP.finditer(text, max(low - 1, 0), min(high + 1, len(text))) if low <= m.end() <= high]
-            cut, strength = (ends[-1], WORD) if ends else (high, NONE)
+            i = max(range(a, b), key=lambda i: (round(depth[i], 9), gaps[places[i]], i)) if deepest else b - 1
+            return places[i], gaps[places[i]]
+        ends = [m.end() for m in _GAP.finditer(text, max(low - 1, 0), min(high + 1, len(text))) if low <= m.end() <= high]
+        return (ends[-1], WORD) if ends else None
+
+    out, start = [], 0
+    while len(text) - start > limit:
+        # a piece has to go beyond the overlap, else the next one wouldn't begin later
+        least, high = start + overlap + 1, start + limit
+        low = max(least, start + int(limit * FILL))
+        cut, strength = best(low, high, True) or best(least, low - 1, False) or (high, NONE)
         out.append((start, cut, strength))
         start = cut - overlap
     return [*out, (start, len(text), NONE)]
