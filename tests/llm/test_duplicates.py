@@ -73,6 +73,28 @@ def test_classes_are_coarser_than_keys(spark):
     assert all(len(x) == 1 for x in of.values())
 
 
+#: Texts that differ only in formatting: backslashes in plain text, and text that begins with a JSON value but doesn't end there.
+ALIKE = [
+    ["open C:\\new\\temp now", "open C:/new/temp now", "OPEN c new temp now", "[open C:\\new\\temp now"],
+    ["say \\u00e9 twice", "say u00e9, twice"],
+    ["[1] some text here", "1 some text here", "[1]: Some text here!", " [1]] some text here"],
+    ['{"a":"x"}\n{"b":"y"}', "a x b y", '{"a":"x"},{"b":"y"}', '{"a":"x"} {"b":"Y"} !'],
+    ['["caf\\u00e9 \\n"]\ufeff', 'caf\\u00e9 \\n', '["caf\\u00e9 \\n"] ;'],
+    ['["é\\n",{"k":"\\\\n"}]', '\ufeff[ "\\u00C9" , {"K":"N"} ] '],
+]
+
+
+def test_text_that_only_begins_like_json(spark):
+    texts = [(10 * k + i, t) for k, group in enumerate(ALIKE) for i, t in enumerate(group)]
+    assert all(len({bare_key(t) for t in group}) == 1 for group in ALIKE) and len({bare_key(group[0]) for group in ALIKE}) == len(ALIKE)
+    of: dict[int, set[int]] = {}
+    for r in D.cheap_class(spark.createDataFrame(texts, "i int, t string"), "t", "c").collect():
+        of.setdefault(r.i // 10, set()).add(r.c)
+    assert all(len(x) == 1 for x in of.values()), of
+    got = {tuple(r) for r in D.superfluous_pairs(table(spark, [(i, "x", t) for i, t in texts])).collect()}
+    assert got == {(10 * k, 10 * k + i) for k, group in enumerate(ALIKE) for i in range(1, len(group))}
+
+
 def test_odd_spellings(spark):
     rows = [
         (1, "x", '\n\t[{"a": "caf\\u00e9 x"}]'), (2, "x", '[{"a":"CAFÉ\nX"}]'), (3, "x", '\ufeff[{"a":"café  x"}]'),

@@ -61,17 +61,22 @@ def cheap_class(rows: DataFrame, text: str = "text", name: str = "c1") -> DataFr
     """Replaces text by the 64-bit class of what formatting can't change: equal for equal records, mostly different for others.
 
     JSON is decoded and written again by the variant parser, so that escapes and indentation are gone; the order of
-    fields doesn't matter to a count. Text that doesn't parse is taken as it is; odd says that it looks like JSON, which
+    fields doesn't matter to a count. Text that doesn't parse as a whole is taken as it is; odd says that it looks like JSON, which
     level 2 may be able to read (repeated field names, NaN), so that it can't be told apart by its class.
     """
     c = F.col(text)
     # raw control characters, which the parser doesn't take, are white space wherever they stand
     looks = c.rlike(r"^[\x{feff} \t\r\n]*[\[{]")
-    plain = F.btrim(F.when(c.rlike(r"[\x00-\x1f]"), F.regexp_replace(c, r"[\x00-\x1f]+", " ")).otherwise(c), F.lit("\ufeff "))
-    rows = rows.withColumn("_json", F.when(looks, F.to_json(F.try_parse_json(plain))))
-    rows = rows.withColumn("odd", looks & F.col("_json").isNull()).withColumn(text, F.coalesce("_json", c)).drop("_json")
-    # written again, control characters and quotes are escapes; their letters must not count
-    rows = rows.withColumn(text, F.when(c.contains("\\"), F.regexp_replace(c, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(c))
+    plain = F.ltrim(F.when(c.rlike(r"[\x00-\x1f]"), F.regexp_replace(c, r"[\x00-\x1f]+", " ")).otherwise(c), F.lit("\ufeff"))
+    # the parser ignores what follows the first value; in a list whose second value is the text's hash, only a text that is one value fits
+    listed = F.concat(F.lit("["), plain, F.lit(","), F.col("_hash").cast("string"), F.lit("]"))
+    rows = rows.withColumn("_hash", F.xxhash64(c)).withColumn("_json", F.when(looks, F.try_parse_json(listed)))
+    whole = F.try_variant_get("_json", "$[1]", "long") == F.col("_hash")
+    rows = rows.withColumn("_json", F.when(whole, F.to_json(F.try_variant_get("_json", "$[0]", "variant"))))
+    # written again, control characters and quotes are escapes; their letters must not count (in other texts they are letters)
+    j = F.col("_json")
+    bare = F.when(j.contains("\\"), F.regexp_replace(j, r'\\(u[0-9a-fA-F]{4}|["\\/bfnrt])', " ")).otherwise(j)
+    rows = rows.withColumn("odd", looks & j.isNull()).withColumn(text, F.coalesce(bare, c)).drop("_json", "_hash")
     rows = folded(rows.withColumn(text, F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")), text)
     size = F.length(c)
     return rows.withColumn(name, F.xxhash64(size, F.octet_length(c), *[size - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in HISTOGRAM])).drop(text)
