@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 SEED, RATIO, ROUNDS, LIMIT, BUDGET, LOW, HIGH = 20250101, 0.9, 64, 25, 6000, 0.2, 0.28
+#: Rounds of a whole epoch, as in the reference; ROUNDS is what the SQL draws.
+EPOCH = 512
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -409,9 +411,23 @@ def balanced_schedule(spark: SparkSession, d: str) -> DataFrame:
     return curate.balanced_schedule(_rl(spark, d), ROUNDS, SEED, "rl_id")
 
 
+@query()
+def balanced_schedule_whole(spark: SparkSession, d: str) -> DataFrame:
+    return curate.balanced_schedule(_rl(spark, d), EPOCH, SEED, "rl_id")
+
+
 @query(f"select source, label, count(*) as draws, count(*) filter (where is_repeat) as repeats from {_SCHEDULE} group by 1, 2")
 def schedule_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return balanced_schedule(spark, d).groupBy("source", "label").agg(F.count("*").alias("draws"), F.count_if("is_repeat").alias("repeats"))
+    return _repeats(balanced_schedule(spark, d))
+
+
+@query()
+def schedule_repeats_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _repeats(balanced_schedule_whole(spark, d))
+
+
+def _repeats(schedule: DataFrame) -> DataFrame:
+    return schedule.groupBy("source", "label").agg(F.count("*").alias("draws"), F.count_if("is_repeat").alias("repeats"))
 
 
 @query(f"select source, label, grouping_id(source, label)::int as level, count(*) as n from {_ITEMS} group by grouping sets ((source, label), (source), (label), ())")
