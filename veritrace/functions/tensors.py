@@ -62,12 +62,13 @@ def importance_ratio(new: Column, old: Column) -> Column:
     return F.transform(F.arrays_zip(new.alias("new"), old.alias("old")), lambda x: F.exp(F.greatest(F.least(x["new"] - x["old"], F.lit(20.0)), F.lit(-20.0))))
 
 
-def clipped_terms(new: Column, old: Column, advantage: Column, low: float, high: float) -> Column:
-    """Loss of each token: -clip(ratio) * advantage * log probability."""
-    return F.transform(
+def clipped_terms(new: Column, old: Column, advantage: Column, low: float, high: float, weight: Column | None = None) -> Column:
+    """Loss of each token: -clip(ratio) * advantage * log probability, times the token's rollout weight if there are weights."""
+    terms = F.transform(
         F.arrays_zip(importance_ratio(new, old).alias("r"), new.alias("new")),
         lambda x: -F.greatest(F.least(x["r"], F.lit(1.0 + high)), F.lit(1.0 - low)) * advantage * x["new"],
     )
+    return terms if weight is None else F.zip_with(terms, weight, lambda t, w: t * w)
 
 
 def masked_mean(values: Column, mask: Column) -> Column:

@@ -85,9 +85,17 @@ def running_best(keys: DataFrame, step: str = "step") -> DataFrame:
     return keys.select(step, best.alias("best_step"), F.max(step).over(w).alias("latest_step"))
 
 
-def pruned(keys: DataFrame, step: str = "step") -> DataFrame:
-    """Steps that are neither the best nor the latest in the end."""
-    kept = best_and_latest(keys, step).select(F.explode(F.array("best_step", "latest_step")).alias(step))
+def truncated_prompts(col: str = "prompt_truncated") -> Column:
+    """Rows whose prompt was truncated; null counts as not. It adds up like the other counters."""
+    return F.count_if(F.coalesce(F.col(col), F.lit(False))).alias("truncated_prompts")
+
+
+def pruned(keys: DataFrame, step: str = "step", least: int = 0) -> DataFrame:
+    """Steps that are neither the best nor the latest in the end, nor needed, the newest first, to keep `least` of them."""
+    kept = F.array_distinct(F.array("best_step", "latest_step"))
+    newest = keys.agg(F.sort_array(F.collect_set(step), asc=False).alias("steps"))
+    filled = F.concat(kept, F.slice(F.array_except("steps", kept), 1, F.greatest(F.lit(least) - F.size(kept), F.lit(0))))
+    kept = best_and_latest(keys, step).crossJoin(newest).select(F.explode(filled).alias(step))
     return keys.select(step).join(kept.distinct(), step, "left_anti")
 
 
