@@ -123,8 +123,9 @@ def test_residue(spark, sf):
     df = base.unionByName(spark.createDataFrame(rows, base.schema)).withColumns({"kind": F.lit(1), "maybe": F.lit(2), "o": F.lit(3)})
     found = {r.doc_id for r in residue.residue_documents(df).collect()}
     assert {i for i, _, _ in rows} & found == {10**6 + k for k in range(len(bad))}
-    v = residue.validation(df).first()
-    assert v.recall > 0.9 and v.precision > 0.8 and v.validated_on > 100
+    v = {r.withheld: r for r in residue.validation(df).collect()}
+    assert set(v) == {"", *residue.CUES, *residue.SLOTS}
+    assert v[""].recall > 0.9 and v[""].precision > 0.8 and v[""].n_content > 100
     n = residue.residue_report(df).agg(F.sum("n_docs"), F.sum("n_kept")).first()
     assert n[0] == df.count() and n[1] == n[0] - len(found)
 
@@ -139,3 +140,31 @@ def test_residue_without_labels(spark):
 @pytest.mark.parametrize("text, n", [("{{x}} ${y} %(z)s __A_B__ @@c@@ <<d>> [[e]] «f g» $$h$$ {% i %} <%= j %> #{k} (fill in l) <user name> [INSERT IT] {due_date} %TITLE%", 17), ("<s> <html> a[1] {1} 5% off {} [] f\"{name}\" ____________", 0)])
 def test_slots(text, n):
     assert len(residue.SLOT.findall(text)) == n
+
+
+def sample(folder):
+    import duckdb
+
+    return duckdb.sql(f"select source, text from '{folder}/documents.parquet' where length(text) between 1 and 20000 order by hash(doc_id)").fetchall()
+
+
+FORMS = ["Dear {{X}}, please confirm that {{Y}} may be shared with Zelmor.", "Hola <X>, el caso <Y> fue asignado.", "Session 【X】 was started by 【Y】.", "尊敬的{{{{X}}}}，工单{{{{Y}}}}已转交。", "Dear ~~X~~, your audit of ~~Y~~ ended.", "Dear ‹X›, your audit of ‹Y› ended."]
+
+
+def test_slots_in_spellings_without_labels():
+    """No spelling here is in SLOTS: found by shape and by what was learned from others."""
+    scorer = residue.Scorer(residue.fit(sample("/root/testdata/sf0.01"))[0])
+    cases = [f.replace("{{{{", "\0").replace("}}}}", "\1").replace("{{", "{").replace("}}", "}").replace("\0", "{{").replace("\1", "}}").replace("X", a).replace("Y", b) for f in FORMS for a, b in (("FIRST_NAME", "ORDER_REF"), ("FirstName", "OrderRef"), ("Customer Name", "Run Date"), ("姓名", "日期"))]
+    found = [residue.judge(t, scorer) == "slot" for t in cases]
+    assert sum(found) >= 0.9 * len(found), [t for t, x in zip(cases, found) if not x]
+    content = ["See f(x) and a[i] for the table (compare REQ-1).", "The agent wrote {name} into the `template` file and <user name> is forbidden by the style guide."]
+    assert not any(residue.judge(t, scorer) == "slot" for t in content)
+
+
+@pytest.mark.parametrize("family", sorted(residue.SLOTS))
+def test_slots_of_a_withheld_family(family):
+    """Trained without any document that has the family, the documents that have it are found as slots where weak labels say so."""
+    rows = sample("/root/testdata/sf0.1")[:4000]
+    scorer = residue.Scorer(residue.fit(rows, withheld=family)[0])
+    want = [t for _, t in rows if residue._SLOTS[family].search(t) and residue.weak_kind(t)[0] == "slot"]
+    assert sum(residue.judge(t, scorer) == "slot" for t in want) >= 0.9 * len(want)
