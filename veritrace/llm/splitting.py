@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrace.llm.records import HAN
+from veritrace.operators.skew import semi_checked
+from veritrace.runtime import materialize
 
 EVENT, PARAGRAPH, SENTENCE, WORD, NONE = 4, 3, 2, 1, 0
 NAMES = {EVENT: "event", PARAGRAPH: "paragraph", SENTENCE: "sentence", WORD: "word", NONE: "none"}
@@ -51,23 +53,37 @@ def depths(text: str, places: list[int], block: int = BLOCK) -> list[float]:
     """Depth of the similarity valley at each gap: how far the cosine of its two blocks lies below the peaks around it."""
     cuts = [0, *places, len(text)]
     bags = [Counter(w.casefold() for w in _TOKEN.findall(text, a, b)) for a, b in zip(cuts, cuts[1:])]
+    # sums that follow the blocks: the scalar product and both squared lengths change only by the words that come and go
+    left: dict[str, int] = {}
+    right: dict[str, int] = {}
+    dot = left2 = right2 = 0
+    for bag in bags[:block]:
+        for w, n in bag.items():
+            have = right.get(w, 0)
+            right2 += n * (2 * have + n)
+            right[w] = have + n
     scores = []
-    left: Counter = Counter()
-    right: Counter = Counter()
-    for b in bags[:block]:
-        right.update(b)
     for i in range(len(places)):
         # gap i lies between unit i and unit i + 1
-        left.update(bags[i])
+        for w, n in bags[i].items():
+            a, b = left.get(w, 0), right[w]
+            dot += (a + n) * (b - n) - a * b
+            left2 += n * (2 * a + n)
+            right2 -= n * (2 * b - n)
+            left[w], right[w] = a + n, b - n
         if i >= block:
-            left.subtract(bags[i - block])
-        right.subtract(bags[i])
+            for w, n in bags[i - block].items():
+                a = left[w]
+                dot -= n * right.get(w, 0)
+                left2 -= n * (2 * a - n)
+                left[w] = a - n
         if i + block < len(bags):
-            right.update(bags[i + block])
-        left, right = +left, +right
-        small, large = (left, right) if len(left) < len(right) else (right, left)
-        dot = sum(n * large[w] for w, n in small.items() if w in large)
-        norm = sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
+            for w, n in bags[i + block].items():
+                b = right.get(w, 0)
+                dot += n * left.get(w, 0)
+                right2 += n * (2 * b + n)
+                right[w] = b + n
+        norm = sqrt(left2 * right2)
         scores.append(dot / norm if norm else 0.0)
     out = []
     for i, s in enumerate(scores):
@@ -149,13 +165,20 @@ def split_items(items: DataFrame, limits: DataFrame) -> DataFrame:
 
     items: rl_id, source, messages; limits: source, max_chars, overlap_chars; other columns are ignored. An item whose source
     has no limit of one or more characters isn't split. Null and negative overlaps count 0, one of the limit or more
-    is the limit less one. Repeated rows of an item come out once. Empty tables give no rows.
+    is the limit less one. Rows of an item that say the same come out once; rows of one id that differ are cut each by itself.
+    Empty tables give no rows.
     """
     rows = items.select("rl_id", F.trim("source").alias("source"), "messages").filter("rl_id is not null")
-    over = rows.join(_limits(limits), "source").filter(size_of(F.col("messages")) > F.col("max_chars"))
     contents = F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))).alias("contents")
+    over = rows.join(_limits(limits), "source").filter(size_of(F.col("messages")) > F.col("max_chars")).select("rl_id", contents, "max_chars", "overlap_chars")
     shape = "rl_id long, piece int, n_pieces int, first_char int, end_char int, overlap int, cut_at string, text string"
-    return over.select("rl_id", contents, "max_chars", "overlap_chars").mapInArrow(_cut, shape).dropDuplicates(["rl_id", "piece", "first_char", "end_char"])
+    # only ids are shuffled: of ids that come once every row is cut where it is; the rows of the others are made one a text
+    twice = items.groupBy("rl_id").count().filter("count > 1 and rl_id is not null").select("rl_id")
+    if twice.limit(1).count():
+        twice = materialize(twice, "split-repeated")
+        single = semi_checked(over, twice, "rl_id", how="left_anti")
+        over = single.unionByName(semi_checked(over, twice, "rl_id").dropDuplicates(["rl_id", "contents"]))
+    return over.mapInArrow(_cut, shape)
 
 
 def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
