@@ -69,6 +69,9 @@ def test_split_items(spark):
         assert "".join(r.text[r.overlap :] for r in mine) == t
         assert all(t[r.first_char : r.end_char] == r.text for r in mine)
     assert [r.cut_at for r in got if r.rl_id == 1 and r.piece == 0] == ["event"]
+    differ = items.limit(0).unionByName(spark.createDataFrame([(1, "s", [("user", "y" * 55)], 1, "t"), (1, "s", [("user", "y" * 55)], 2, "t"), (1, "s", [("user", "z" * 70)], 1, "t")], items.schema))
+    again = splitting.split_items(differ, limits).collect()
+    assert sorted((r.piece, r.n_pieces, r.text[0]) for r in again) == [(0, 2, "y"), (0, 2, "z"), (1, 2, "y"), (1, 2, "z")]
     measured = spark.createDataFrame([(1, 5, None), (1, 9, True), (2, None, True), (99, 1, True)], "rl_id long, original_tokens int, truncated boolean")
     report = {r.source: r for r in splitting.split_report(items, limits, measured).collect()}
     assert report["s"].n_split == 3 and report["s"].max_tokens == 9 and report["s"].n_flagged_not_split == 1
@@ -101,6 +104,26 @@ def test_flow_against_all_routings():
             assert sum(f for (k, u, _), f in flow.items() if (k, u) == n) <= supply[n]
 
 
+def test_flow_with_many_sources_and_patterns():
+    rng = random.Random(5)
+    names = [f"s{i:03d}" for i in range(80)]
+    patterns = {}
+    while len(patterns) < 3000:
+        p = tuple(sorted(set(rng.choices(names, k=rng.randrange(1, 5)))))
+        patterns[p] = (list(p), rng.randrange(1, 10**6))
+    targets = {s: (rng.random() + 0.1, rng.randrange(1, 4)) for s in names}
+    flow, shares = mixing.plan_mixture(patterns, targets)
+    got = dict.fromkeys(names, 0)
+    used = dict.fromkeys(((p, u) for p, u, _ in flow), 0)
+    for (p, u, s), f in flow.items():
+        assert f > 0 and s in p and u <= targets[s][1]
+        got[s] += f
+        used[p, u] += f
+    total = sum(got.values())
+    assert all(f <= patterns[p][1] for (p, _), f in used.items())
+    assert all(got[s] / total == pytest.approx(shares[s], rel=1e-3) for s in names)
+
+
 def rows_for(spark):
     rng = random.Random(8)
     rows = []
@@ -111,7 +134,7 @@ def rows_for(spark):
     return spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "item_id long, source string, source_split string, content string, label int, chars int, pattern int, uses int")
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     items = rows_for(spark)
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.15, 5), ("absent", 0.05, 5), (None, 0.2, 1), ("zero", None, None)], "source string, target_share double, max_repeats int")
     got = mixing.mixture(items, targets).collect()
@@ -127,6 +150,14 @@ def test_mixture(spark):
             uses[content[r.item_id]] = uses.get(content[r.item_id], 0) + r.uses
     assert max(uses.values()) <= 5
     assert sorted(map(tuple, mixing.mixture(items, targets).collect())) == sorted(map(tuple, got))
+    # patterns beyond the largest stand for two of their sources: no record is left out, shares are still met
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    fewer = mixing.mixture(items, targets).collect()
+    whole = sum(r.chars * r.uses for r in fewer)
+    assert all(sum(r.chars * r.uses for r in fewer if r.source == s) / whole == pytest.approx(t / 0.95, abs=0.02) for s, t in (("big", 0.5), ("mid", 0.3), ("small", 0.15)))
+    many = spark.createDataFrame([(f"x{k}", 0.001, 1) for k in range(130)], targets.schema)
+    assert {r.source for r in mixing.mixture(items, targets.unionByName(many)).collect()} == {"big", "mid", "small"}
+    monkeypatch.undo()
     shares = {(r.source, r.label_level): r for r in mixing.mixture_shares(items, targets).collect() if r.label_level == 0}
     assert shares["absent", 0].share == 0 and shares["small", 0].share == pytest.approx(0.15 / 0.95, abs=0.02) and shares["big", 0].most_uses == 1
     assert mixing.mixture(items.limit(0), targets).count() == mixing.mixture(items, targets.limit(0)).count() == 0

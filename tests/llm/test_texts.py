@@ -75,10 +75,12 @@ def test_leaks(spark):
 
 
 def test_leak_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 25)
     d = spark.createDataFrame([(1, PASSAGES[0][1]), (5, "a b " * 9)], "doc_id long, text string")
     p = spark.createDataFrame(PASSAGES, "item_id long, text string")
+    assert leakage._blocks(p)[1] > 2
     assert {tuple(r) for r in leakage.leaked_pairs(d, p).collect()} == {(1, 1), (1, 2), (5, 6)}
+    assert leakage.leaked_pairs(d.limit(0), p).count() == 0
 
 
 def audits(spark):
