@@ -85,19 +85,15 @@ def depths(text: str, places: list[int], block: int = BLOCK) -> list[float]:
                 right[w] = b + n
         norm = sqrt(left2 * right2)
         scores.append(dot / norm if norm else 0.0)
-    out = []
-    for i, s in enumerate(scores):
-        a = b = s
-        for j in range(i - 1, -1, -1):
-            if scores[j] < a:
-                break
-            a = scores[j]
-        for j in range(i + 1, len(scores)):
-            if scores[j] < b:
-                break
-            b = scores[j]
-        out.append(a + b - 2 * s)
-    return out
+    # the peak on a side is the end of the rise that begins at the gap, so that of the neighbour if it isn't lower
+    peaks = [0.0] * len(scores)
+    for order in (range(len(scores)), range(len(scores) - 1, -1, -1)):
+        last = peak = -1.0
+        for i in order:
+            peak = peak if last >= scores[i] else scores[i]
+            last = scores[i]
+            peaks[i] += peak
+    return [p - 2 * s for p, s in zip(peaks, scores)]
 
 
 def pieces(text: str, joints: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
