@@ -77,6 +77,7 @@ _SLOTS = {f: re.compile(x) for f, x in SLOTS.items()}
 _ANY_CUE, SLOT = re.compile("|".join(CUES.values()).replace("\\1", "(?:tbd|todo|text|blah|test|dummy|xxx|zzz|asdf|foo)")), re.compile("|".join(SLOTS.values()))
 #: The shape of a slot: a name of at most six words between brackets, with or without signs inside or before them, or between
 #: equal pairs of signs; or a rule of underscores in front of a blank or punctuation.
+_SIGNS = re.compile(r"[{\[<(«【「《⟨‹%]|__|@@|\$\$|##|~~|\|\|")
 _INNER = r"[^\W\d_](?:[\w.-]*?[^\W_])?(?: [^\W_](?:[\w.-]*?[^\W_])?){0,5}"
 SHAPE = re.compile(
     rf"(?P<open>[$#%@]{{0,2}}[{{(\[<«【「《⟨‹]{{1,3}}[%=#]{{0,2}})\s*(?P<name>{_INNER})\s*(?P<close>[%=]?[}})\]>»】」》⟩›]{{1,3}}[sd]?)|(?P<sign>%|__|@@|\$\$|%%|##|~~|\|\|)(?P<name2>{_INNER})(?P=sign)|(?<!_)(?P<rule>_{{3,8}})(?=[,.;: ])"
@@ -272,7 +273,7 @@ def judge(text: str, scorer: Scorer) -> str | None:
     if not text or text.isspace():
         return None
     parts = segments(text)
-    if SHAPE.search(text) and any(scorer.slot(parts[k], m, same) for k, m, same in candidates(parts)):
+    if _SIGNS.search(text) and any(scorer.slot(parts[k], m, same) for k, m, same in candidates(parts)):
         return "slot"
     body = [(s, k) for k, s in enumerate(parts) if not (k == 0 or s[0] == "#") or not is_heading(s, k)]
     total = sum(len(s) for s, _ in body)
