@@ -176,3 +176,23 @@ def test_empty_tables(spark):
     assert curate.dedup_exact(none, "sha", ["id"]).count() == 0
     assert curate.balanced_schedule(none.withColumn("label", F.lit("safe")), 4, 1, "id").count() == 0
     assert metrics.metrics(none.select("source", F.lit("safe").alias("gold"), F.lit(None).cast("string").alias("pred"))).filter("n > 0").count() == 0
+
+
+def test_ranked_inside_hot_keys(spark):
+    rows = [(k, i % 50 if i % 3 else None, i) for k, n in (("hot", 900), ("small", 7), (None, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    order = [F.col("v"), F.col("i")]
+    want = {(r.k, r.i): r.line for r in curate.ranked(df, order, by=["k"]).collect()}
+    got = curate.ranked(df, order, by=["k"], rows_a_cell=60)
+    assert {(r.k, r.i): r.line for r in got.collect()} == want and len(want) == len(rows) and got.columns == ["k", "v", "i", "line"]
+    hashed = df.withColumn("o", curate.seeded_order(1, F.col("k"), F.col("i")))
+    lines = [r.line for r in curate.ranked(hashed, [F.col("o")], buckets=4, rows_a_cell=20).orderBy("o").collect()]
+    assert lines == list(range(1, len(rows) + 1))
+
+
+def test_consolidated_and_union(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "a", "y"), (2, None, None), (2, None, None)], "k int, s string, long_text string")
+    assert sorted(map(tuple, evaluate.consolidated(df, ["k", "s"]).collect()), key=str) == [(1, "a"), (1, "a"), (2, None)]
+    assert evaluate.consolidated(df).count() == 3
+    u = spark.createDataFrame([(["a", "b", "a"], ["c", "a", "c"]), (None, ["x"]), (["y"], None)], "p array<string>, q array<string>")
+    assert [r.u for r in u.select(curate.ordered_union(F.col("p"), F.col("q")).alias("u")).collect()] == [["a", "b", "a", "c"], ["x"], ["y"]]

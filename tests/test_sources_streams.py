@@ -60,16 +60,81 @@ def test_sinks(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("part-*")))
     assert [json.loads(x) for x in text.splitlines()] == [{"n": 1, "s": "a", "t": "x"}, {"n": 2, "s": "b", "t": None}]
     assert sinks.digest(df) == sinks.digest(df.orderBy("n")) != sinks.digest(df.limit(1))
-    sinks.write_json(str(tmp_path / "d" / "x.json"), {"b": 1, "a": "é"})
-    assert json.loads((tmp_path / "d" / "x.json").read_text()) == {"a": "é", "b": 1} and len(os.listdir(tmp_path / "d")) == 1
+    for value in ({"b": 0}, {"b": 1, "a": "é"}):
+        sinks.write_json(spark, str(tmp_path / "d" / "x.json"), value)
+    assert json.loads((tmp_path / "d" / "x.json").read_text()) == {"a": "é", "b": 1} == sinks.read_json(spark, str(tmp_path / "d" / "x.json"))
+    with pytest.raises(TypeError):
+        sinks.write_json(spark, str(tmp_path / "d" / "x.json"), object())
+    assert [x for x in os.listdir(tmp_path / "d") if not x.endswith(".crc")] == ["x.json"]
     (tmp_path / "new").mkdir(), (tmp_path / "old").mkdir()
     with pytest.raises(FileExistsError):
-        sinks.swap(str(tmp_path / "new"), str(tmp_path / "old"))
-    sinks.swap(str(tmp_path / "new"), str(tmp_path / "old"), overwrite=True)
+        sinks.swap(spark, str(tmp_path / "new"), str(tmp_path / "old"))
+    sinks.swap(spark, str(tmp_path / "new"), str(tmp_path / "old"), overwrite=True)
     assert not (tmp_path / "new").exists()
     assert sinks.markdown([{"a": 0.5, "b": None}], ["a", "b"]) == "| a | b |\n|---|---|\n| 0.5000 | - |\n"
 
 
+def test_publish(spark, tmp_path):
+    target = str(tmp_path / "t")
+
+    def good(folder):
+        sinks.write_json(spark, f"{folder}/a.json", [1])
+
+    def bad(folder):
+        good(folder)
+        raise RuntimeError("half way")
+
+    with pytest.raises(RuntimeError):
+        sinks.publish(spark, target, bad)
+    assert os.listdir(tmp_path) == []
+    sinks.publish(spark, target, good)
+    with pytest.raises(FileExistsError):
+        sinks.publish(spark, target, good)
+    with pytest.raises(RuntimeError):
+        sinks.publish(spark, target, bad, overwrite=True)
+    assert sinks.read_json(spark, f"{target}/a.json") == [1]
+    sinks.publish(spark, target, lambda f: sinks.point(spark, f, "best", 5, "c/5"), overwrite=True)
+    assert sinks.read_json(spark, f"{target}/best.json") == {"step": 5, "checkpoint": "c/5"} and os.listdir(tmp_path) == ["t"]
+    (tmp_path / ".u.staging").mkdir()
+    with pytest.raises(FileExistsError, match="another run"):
+        sinks.publish(spark, str(tmp_path / "u"), good)
+    assert (tmp_path / ".u.staging").exists()
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    schema = "source string, gold string, pred string"
+    put = lambda k, *rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{k}"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "state")
+    for k in range(3):
+        put(k, ("s", "safe", "safe"))
+    assert incremental.stream_metrics(stream(), folder=folder).first().n == 3
+    batches = len(os.listdir(f"{folder}/checkpoint/commits"))
+    assert batches >= 3
+    put(3, ("s", "unsafe", None), ("t", "safe", "safe"))
+    assert {r.source: r.n for r in incremental.stream_metrics(stream(), folder=folder).collect()} == {"s": 4, "t": 1}
+    # the last batch was put out but not committed when the process was killed: it is run again and replaces itself
+    commits = [x for x in os.listdir(f"{folder}/checkpoint/commits") if x.isdigit()]
+    last = max(commits, key=int)
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(f"{folder}/checkpoint/commits/{name}"):
+            os.remove(f"{folder}/checkpoint/commits/{name}")
+    assert {r.source: r.n for r in incremental.stream_metrics(stream(), folder=folder).collect()} == {"s": 4, "t": 1}
+    once = lambda: incremental.drained(incremental.once_each(stream().select("source"), ["source"]), "append", "once", str(tmp_path / "once"))
+    assert once().count() == once().count() == 2
+
+
+def test_retention_state_has_a_bound(spark, tmp_path):
+    rows = [("r", s, kind, float(s % 7), 0.0, 0.0) for s in range(1, 31) for kind in ("save", "validation")] + [("r", 40, "save", None, None, None)]
+    schema = "run string, step long, kind string, k1 double, k2 double, k3 double"
+    for k, part in enumerate((rows[:30], rows[30:], [("r", 2, "save", None, None, None), ("r", 2, "validation", 99.0, 0.0, 0.0), ("r", 40, "validation", 1.0, 0.0, 0.0)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}/p"))
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in*"))
+        out = incremental.drained(incremental.retention(s, most_waiting=5), "append", "r", str(tmp_path / "state")).collect()
+    steps = [r.step for r in out]
+    assert sorted(steps) == [*range(1, 31), 40] and {r.best_step for r in out if r.step == 40} == {6}
+
+
 def test_retention_stream(spark, tmp_path):
     schema = "run string, step long, kind string, k1 double, k2 double, k3 double"
     parts = [
@@ -125,3 +190,15 @@ def test_cli(spark, tmp_path, capsys):
         assert cli.main(["audit", str(one), "--predictor", "test_sources_streams:answer"]) == 2
     finally:
         spark.stop = stop
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    from veritrace import runtime
+
+    kept = runtime.materialize(spark.range(3).toDF("n"), "kept")
+    with runtime.scratch(spark):
+        gone = runtime.materialize(spark.range(4).toDF("n"), "gone")
+        path = runtime._WRITTEN[-1]
+        assert gone.count() == 4
+    fs, at = runtime.file_system(spark, path)
+    assert not fs.exists(at) and kept.count() == 3

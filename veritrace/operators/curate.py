@@ -24,16 +24,17 @@ def overlap(train: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def dedup_exact(items: DataFrame, key: str, order: list[str], label: str = "label") -> DataFrame:
-    """One row a key: the least by `order`, with n_copies and n_labels; more than one label is a conflict.
+    """One row a key: the least by `order`, with n_copies and n_labels (0, 1, or 2 for several); more than one label is a conflict.
 
-    Null keys are left out. min of a struct aggregates before the shuffle, so a key with most of the rows does no harm.
+    Null keys are left out. Everything is a min, max or count, which aggregate before the one shuffle, so a key with most of the rows
+    does no harm.
     """
     rest = [c for c in items.columns if c not in order and c != key]
     return (
         items.filter(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min(F.struct(*order, *rest)).alias("r"), F.count("*").alias("n_copies"), F.count_distinct(label).alias("n_labels"))
-        .select(key, "r.*", "n_copies", "n_labels")
+        .agg(F.min(F.struct(*order, *rest)).alias("r"), F.count("*").alias("n_copies"), F.min(label).alias("_lo"), F.max(label).alias("_hi"))
+        .select(key, "r.*", "n_copies", F.when(F.col("_lo").isNull(), 0).when(F.col("_lo") == F.col("_hi"), 1).otherwise(2).cast("long").alias("n_labels"))
     )
 
 
@@ -47,20 +48,45 @@ def seeded_order(seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "line", by: list[str] | None = None, buckets: int = 512) -> DataFrame:
+#: Rows that one task numbers.
+ROWS_A_CELL = 1_000_000
+
+
+def _offset(cells: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Numbers rows inside their cells (column _cell, in order) and shifts them by the sizes of the cells before."""
+    sizes = cells.groupBy(*by, "_cell").agg(F.count("*").alias("_n"))
+    base = sizes.select(F.struct(*by, "_cell").alias("_at"), (F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_n")).alias("_base"))
+    inside = cells.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(*order)))
+    # a struct, because a struct with nulls in it is equal to another one
+    return inside.withColumn("_at", F.struct(*by, "_cell")).join(base, "_at").withColumn(name, F.col("_base") + F.col("_k")).drop("_cell", "_k", "_base", "_at")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "line", by: list[str] | None = None, buckets: int = 512, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
     """Adds the row number (from 1) in a total order, without a single task that sorts everything.
 
-    With `by`, numbers start anew for each key. Otherwise rows are split into `buckets` ranges of the first order column
-    (which should be a hash in hexadecimal), numbered inside them, and shifted by the sizes of the ranges before.
+    Without `by`, rows are split into ranges of the first order column (which should be a hash in hexadecimal), at least `buckets`
+    and more where they would hold more than rows_a_cell rows; they are numbered inside them and shifted by the sizes of the ranges
+    before. With `by`, numbers start anew for each key; keys of more than rows_a_cell rows are split at quantiles of the first
+    order column (a number or time) in the same way. Rows with the same value of it stay in one range. The numbers of keys are int, of
+    all rows long. Nulls are a key like any other, and come first in the order.
     """
     if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    cell = (F.conv(F.substring(order[0], 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int")
-    cells = df.withColumn("_cell", F.coalesce(cell, F.lit(-1)))
-    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_n"))
-    base = sizes.select("_cell", (F.sum("_n").over(Window.orderBy("_cell")) - F.col("_n")).alias("_base"))
-    inside = cells.withColumn("_k", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)))
-    return inside.join(F.broadcast(base), "_cell").withColumn(name, (F.col("_base") + F.col("_k")).cast("long")).drop("_cell", "_k", "_base")
+        counts = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows_a_cell)
+        most = counts.agg(F.max("_n")).first()[0]
+        if not most:
+            return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        pieces = most // rows_a_cell + 1
+        steps = [k / pieces for k in range(1, pieces)]
+        value = order[0].cast("double")
+        hot = df.join(counts.select(F.struct(*by).alias("_key")), F.struct(*by) == F.col("_key"), "left_semi")
+        cuts = hot.groupBy(*by).agg(F.percentile_approx(value, steps).alias("_cuts")).select(F.struct(*by).alias("_key"), "_cuts")
+        split = df.withColumn("_key", F.struct(*by)).join(cuts, "_key", "left").drop("_key")
+        cell = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < value))).otherwise(0)
+        return _offset(split.withColumn("_cell", F.coalesce(cell, F.lit(0))).drop("_cuts"), by, order, name).withColumn(name, F.col(name).cast("int"))
+    cells = max(buckets, -(-df.count() // rows_a_cell))
+    cell = (F.conv(F.substring(order[0], 1, 8), 16, 10).cast("double") * cells / 2.0**32).cast("int")
+    whole = df.withColumn("_cell", F.coalesce(cell, F.lit(-1))).withColumn("_all", F.lit(0))
+    return _offset(whole, ["_all"], order, name).drop("_all").withColumn(name, F.col(name).cast("long"))
 
 
 def oversample(items: DataFrame, seed: int, ratio: float, key: str, label: str = "label") -> DataFrame:
@@ -123,6 +149,13 @@ def first_of_each(items: DataFrame, by: str, order: list[str], n: int) -> DataFr
     return items.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
 
 
+def ordered_union(first: Column, second: Column) -> Column:
+    """The entries of two lists in order, each once: those of the first (repeats there stay), then what only the second has. Null counts as empty."""
+    empty = F.array().cast("array<string>")
+    a, b = F.coalesce(first, empty), F.coalesce(second, empty)
+    return F.concat(a, F.array_except(b, a))
+
+
 def zip_by_line(left: DataFrame, right: DataFrame, line: str | list[str] = "line") -> DataFrame:
     """Full outer join on the line number; status says which side lacks the line."""
     a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,15 +52,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_WRITTEN: list[str] = []
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, is pruned by column.
 
-    The table is deleted when the JVM that wrote it ends.
+    The table is deleted at the end of the scratch() it was written in, and at the latest when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veritrace/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialize wrote inside it; results must have been written or read by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            fs, at = file_system(spark, path)
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+        del _WRITTEN[before:]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrace.operators.metrics import counts, rates
-from veritrace.runtime import shared_dir
+from veritrace.runtime import file_system, shared_dir
 
 
 def table_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> DataFrame:
@@ -22,13 +22,16 @@ def table_stream(spark: SparkSession, path: str, files_a_batch: int = 1) -> Data
     return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
-def drained(stream: DataFrame, mode: str, name: str, partition: str | None = None) -> DataFrame:
-    """Runs a stream until its source is read up and returns what came out, from the shared folder.
+def drained(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
+    """Runs a stream until its source is read up and returns what has come out, from `folder`.
 
-    complete mode keeps the last batch; append mode all of them. The checkpoint makes a repeated batch replace itself.
+    folder holds the checkpoint and the output: a later call with the same folder, in this process or another, goes on where the
+    last one ended, or was killed, and returns the output of all of them; a batch that is run again replaces itself, so
+    each row is counted once. Without a folder the run begins anew in one of its own. complete mode keeps the last batch, append
+    mode all of them.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/veritrace/{name}-{uuid.uuid4().hex}"
+    base = folder or f"{shared_dir(spark)}/veritrace/{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, epoch: int) -> None:
         where = f"{base}/out/last" if mode == "complete" else f"{base}/out/epoch={epoch}"
@@ -38,6 +41,9 @@ def drained(stream: DataFrame, mode: str, name: str, partition: str | None = Non
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    fs, at = file_system(spark, f"{base}/out")
+    if not fs.exists(at):  # nothing ever came
+        return spark.createDataFrame([], stream.schema)
     where = f"{base}/out/last" if mode == "complete" else f"{base}/out/epoch=*"
     return spark.read.schema(stream.schema).parquet(where)
 
@@ -47,9 +53,9 @@ def running_metrics(predictions: DataFrame, source: str = "source") -> DataFrame
     return predictions.groupBy(source).agg(*counts())
 
 
-def stream_metrics(predictions: DataFrame, source: str = "source") -> DataFrame:
-    """Metrics of a stream once it is drained: the same as of the whole table."""
-    return rates(drained(running_metrics(predictions, source), "complete", "metrics"))
+def stream_metrics(predictions: DataFrame, source: str = "source", folder: str | None = None) -> DataFrame:
+    """Metrics of a stream once it is drained: the same as of the whole table. With a folder, later calls add what has come since."""
+    return rates(drained(running_metrics(predictions, source), "complete", "metrics", folder))
 
 
 def once_each(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,48 +73,49 @@ def due(step: str = "step", every: int = 50):
     return (F.col(step) == 1) | (F.col(step) % every == 0)
 
 
-_STATE = "run string, best_step long, k1 double, k2 double, k3 double, latest_step long, pending string"
+_STATE = "run string, best_step long, k1 double, k2 double, k3 double, latest_step long, behind long, pending string"
 _OUT = "run string, step long, best_step long, latest_step long, kept string"
 
 
-def retention(events: DataFrame) -> DataFrame:
+def retention(events: DataFrame, most_waiting: int = 1000) -> DataFrame:
     """Best and latest checkpoint of each run, from a stream of (run, step, kind, k1, k2, k3).
 
     kind is 'validation' (with its key) or 'save'; a step counts when both have come, in either order. One row is put out for each
-    step committed. A repeated event changes nothing; equal keys keep the earlier step. State is the best, the latest and the steps
-    of which one event is still missing.
+    step committed. Equal keys keep the earlier step. State is the best, the latest, the last `most_waiting` steps (those of which an
+    event is missing and those that are done, so that a repeated event changes nothing), and the step they begin after: an event
+    of a step that far behind is left out. So it has a bound whatever the number of steps.
     """
 
     def step(key, frames, state):
         (run,) = key
         import json
 
-        best, k, latest, waiting = None, None, None, {}
+        best, k, latest, behind, seen = None, None, None, -1, {}
         if state.exists:
-            _, best, k1, k2, k3, latest, kept = state.get
-            k, waiting = (None if best is None or k1 != k1 else (k1, k2, k3)), json.loads(kept)
+            _, best, k1, k2, k3, latest, behind, kept = state.get
+            seen = {int(s): w for s, w in json.loads(kept).items()}
             best, latest = (None if x is None or x < 0 else int(x) for x in (best, latest))
-            if best is None:
-                k = None
-        done = waiting.setdefault("done", [])
+            k = None if best is None else (k1, k2, k3)
         out = []
         for frame in frames:
             for e in frame.sort_values(["step", "kind"]).itertuples():
-                s = str(int(e.step))
-                if int(e.step) in done:
+                s = int(e.step)
+                if s <= behind or seen.get(s) == "done":
                     continue
-                w = waiting.setdefault(s, {})
+                w = seen.setdefault(s, {})
                 w[e.kind] = [e.k1, e.k2, e.k3] if e.kind == "validation" else True
                 if len(w) < 2:
                     continue
                 new = tuple(w["validation"])
-                del waiting[s]
-                done.append(int(e.step))
-                if k is None or new > k or (new == k and int(e.step) < best):
-                    best, k = int(e.step), new
-                latest = max(latest or 0, int(e.step))
-                out.append((run, int(e.step), best, latest, ",".join(map(str, sorted({best, latest})))))
-        state.update((run, -1 if best is None else best, *(k or (0.0, 0.0, 0.0)), -1 if latest is None else latest, json.dumps(waiting)))
+                seen[s] = "done"
+                if k is None or new > k or (new == k and s < best):
+                    best, k = s, new
+                latest = max(latest or 0, s)
+                out.append((run, s, best, latest, ",".join(map(str, sorted({best, latest})))))
+        for s in sorted(seen)[: max(0, len(seen) - most_waiting)]:
+            behind = max(behind, s)
+            del seen[s]
+        state.update((run, -1 if best is None else best, *(k or (0.0, 0.0, 0.0)), -1 if latest is None else latest, behind, json.dumps(seen)))
         yield pd.DataFrame(out, columns=["run", "step", "best_step", "latest_step", "kept"])
 
     return events.groupBy("run").applyInPandasWithState(step, _OUT, _STATE, "append", "NoTimeout")
