@@ -28,6 +28,59 @@ def test_jsonl(spark, tmp_path):
     assert spark.read.format("labelled_jsonl").load(p).count() == 3
 
 
+def test_jsonl_in_ranges(spark, tmp_path):
+    rows = [json.dumps({"i": i, "x": "y" * (i % 40)}) if i % 5 else " " * (i % 3) for i in range(3000)]
+    for name in ("a", "b"):
+        lines(tmp_path / f"{name}.jsonl", rows)
+    (tmp_path / "c.jsonl").write_text("\r\n1\r\n\r\n{\"a\": 2}", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = records.jsonl(spark, str(tmp_path / "*.jsonl")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    kept = [(k + 1, r) for k, r in enumerate(rows) if r.strip()]
+    for name in ("a", "b"):
+        mine = sorted((r.line, r.ordinal, r.raw) for r in got if r.file.endswith(f"/{name}.jsonl"))
+        assert mine == [(line, n, r) for n, (line, r) in enumerate(kept)]
+    assert sorted((r.line, r.ordinal, r.raw) for r in got if r.file.endswith("c.jsonl")) == [(2, 0, "1"), (4, 1, '{"a": 2}')]
+
+
+def test_shards_steps_checkpoints_configs(spark, tmp_path):
+    lines(tmp_path / "p.rank0.jsonl", [{"dataset_index": 0}, {"dataset_index": 1}])
+    (tmp_path / "p.rank1.jsonl").write_text('{"dataset_index": 2}\n', encoding="utf-8")
+    glob, schema = str(tmp_path / "p.rank*.jsonl"), "dataset_index long"
+    assert sorted((r.dataset_index, r.file) for r in records.resumed(spark, glob, schema).collect()) == [(0, "p.rank0.jsonl"), (1, "p.rank0.jsonl"), (2, "p.rank1.jsonl")]
+    (tmp_path / "p.rank1.jsonl").write_text('{"dataset_index": 2}\n{"datas', encoding="utf-8")
+    with pytest.raises(ValueError, match="p.rank1.jsonl.*trimmed"):
+        records.resumed(spark, glob, schema)
+    (tmp_path / "p.rank1.jsonl").write_text('{"datas\n{"dataset_index": 2}\n', encoding="utf-8")
+    with pytest.raises(ValueError, match="before its last"):
+        records.resumed(spark, glob, schema)
+    dump = tmp_path / "dump"
+    dump.mkdir()
+    with pytest.raises(ValueError, match="named by its step"):
+        records.step_files(spark, str(dump), "pred string")
+    lines(dump / "7.jsonl", [{"pred": "a"}]), lines(dump / "07x.jsonl", [{"pred": "b"}]), lines(dump / "10.jsonl", [{"pred": "c"}])
+    assert sorted((r.step, r.pred) for r in records.step_files(spark, str(dump), "pred string").collect()) == [(7, "a"), (10, "c")]
+    assert records.step_files(spark, str(dump / "10.jsonl"), "pred string").first().step == 10
+    with pytest.raises(ValueError, match="named by its step"):
+        records.step_files(spark, str(dump / "07x.jsonl"), "pred string")
+    (dump / "11.jsonl").write_text("")
+    with pytest.raises(ValueError, match="empty: 11.jsonl"):
+        records.step_files(spark, str(dump), "pred string")
+    for n in ("checkpoint-100", "checkpoint-20", "checkpoint-x", "other-3"):
+        (tmp_path / "run" / n).mkdir(parents=True)
+    (tmp_path / "run" / "checkpoint-5").write_text("a file")
+    assert [r.step for r in records.checkpoints(spark, str(tmp_path / "run")).collect()] == [20, 100] and records.checkpoints(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "c.json").write_text("[1]")
+    assert records.config(str(tmp_path / "c.json"), lenient=True) == records.config(str(tmp_path / "none.json"), lenient=True) == {}
+    with pytest.raises(ValueError):
+        records.config(str(tmp_path / "c.json"))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"a": [1, 2]}))
+    assert records.config(str(tmp_path / "c.yaml")) == {"a": [1, 2]}
+
+
 @pytest.mark.parametrize(
     "row, error",
     [
@@ -175,14 +228,31 @@ def test_cli(spark, tmp_path, capsys):
         assert (report["removed_overlap"], report["removed_duplicates"], report["labels"]) == (1, 1, {"0": 16, "1": 14})
         assert cli.main(["schedule", str(tmp_path / "out/train/manifest"), str(tmp_path / "sched"), "--rounds", "6"]) == 0
         assert spark.read.parquet(str(tmp_path / "sched")).count() == 12
+        assert report["validation_rows"] == 1 and report["oversampling"] == {"ratio": 0.9, "before": {"0": 16, "1": 4}, "added": 10, "after": {"0": 16, "1": 14}}
+        assert set(json.loads((tmp_path / "out/registry.json").read_text())) == {"train", "validation"}
+        assert cli.main(["prepare", "--train", f"web={t}", "--validation", v, "--out", str(tmp_path / "out")]) == 1  # it is there
+        assert cli.main(["prepare_rl", str(tmp_path / "out"), str(tmp_path / "rl"), "--rounds", "6"]) == 0
+        summary = json.loads((tmp_path / "rl/summary.json").read_text())
+        assert {k: x["records"] for k, x in summary["outputs"].items()} == {"train_unique": 20, "train_balanced": 12, "validation": 1} and summary["sampling_repeats"] == {"web/unsafe": 2}
+        first = json.loads(min((tmp_path / "rl/train_balanced").glob("part-*")).read_text().splitlines()[0])
+        assert first["extra_info"]["index"] == 0 and [m["role"] for m in first["prompt"]] == ["system", "user"] and first["reward_model"]["ground_truth"]["label"] == "safe"
+        (tmp_path / "scripted_predictor.py").write_text("def load():\n    return lambda prompts: [('?', 1, 1) for p in prompts]\n\n\nagain = load\n")
+        spark.sparkContext.addPyFile(str(tmp_path / "scripted_predictor.py"))  # as --py-files does
+        score = ["evaluate", str(tmp_path / "out"), str(tmp_path / "eval"), "--predictor", "scripted_predictor:load"]
+        assert cli.main([*score, "--sources", "v", "w"]) == 1 and cli.main(score) == 0
+        document = json.loads((tmp_path / "eval/metrics.json").read_text())
+        assert document["overall"]["n"] == 1 and document["overall"]["parsed"] == 0 and document["unparsed"] == "count_as_incorrect"
+        assert cli.main(score) == 0  # nothing is left to score
+        assert cli.main([*score[:3], "--predictor", "scripted_predictor:again"]) == 1 and "other settings" in capsys.readouterr().err
         bad = lines(tmp_path / "bad.jsonl", ["{"])
         assert cli.main(["prepare", "--train", bad, "--validation", v, "--out", str(tmp_path / "o2")]) == 1
         (tmp_path / "dump").mkdir()
         for step, pred in ((1, "safe"), (50, "unsafe")):
             lines(tmp_path / f"dump/{step}.jsonl", [{"pred": pred, "target_label": "unsafe", "parse_ok": 1.0, "source": "s"}, {"pred": "safe", "target_label": "safe"}])
         lines(tmp_path / "dump/notes.jsonl", [{"pred": "safe", "target_label": "unsafe"}])
-        assert cli.main(["summarize", str(tmp_path / "dump")]) == 0
-        assert "step 50" in capsys.readouterr().out
+        assert cli.main(["summarize", str(tmp_path / "dump"), "--all"]) == 0
+        out = capsys.readouterr().out
+        assert "step 50" in out and "| 1 | 2 |" in out and cli.main(["summarize", str(tmp_path / "dump"), "--step", "7"]) == 1
         one = tmp_path / "one.json"
         one.write_text(json.dumps({"content": [{"role": "user", "content": "hi"}]}))
         assert cli.main(["audit", str(one), "--predictor", "test_sources_streams:answer"]) == 0

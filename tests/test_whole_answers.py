@@ -1,4 +1,4 @@
-"""The _whole queries against loops over every token of an answer, long ones included."""
+"""Queries over token sequences against loops over every token of an answer, long ones included."""
 
 import math
 
@@ -37,7 +37,7 @@ def mean(x):
 
 def test_regions(spark, answers):
     folder, rows, reward = answers
-    got = {r.audit_id: r for r in core.queries()["token_regions_whole"](spark, folder).collect()}
+    got = {r.audit_id: r for r in core.queries()["token_regions"](spark, folder).collect()}
     assert len(got) == len(rows)
     for i, _, advantage, n in rows:
         r = got[i]
@@ -56,8 +56,8 @@ def test_losses(spark, answers):
         per.setdefault(source, []).append((mean(terms[:at]), mean(terms[at:]), ratios, advantage))
         weights = [4.0 if k >= n - 12 else 1.0 for k in range(n)]
         ce[i] = sum(-a * w for a, w in zip(new, weights)) / max(sum(weights), 1)
-    loss = {r.source: r for r in core.queries()["region_loss_whole"](spark, folder).collect()}
-    diagnostics = {r.source: r for r in core.queries()["loss_diagnostics_whole"](spark, folder).collect()}
+    loss = {r.source: r for r in core.queries()["region_loss"](spark, folder).collect()}
+    diagnostics = {r.source: r for r in core.queries()["loss_diagnostics"](spark, folder).collect()}
     assert set(loss) == set(diagnostics) == set(per)
     for source, x in per.items():
         a, label, ratios = mean([y[0] for y in x]), mean([y[1] for y in x]), [r for y in x for r in y[2]]
@@ -66,13 +66,13 @@ def test_losses(spark, answers):
         clipped = mean([float(y < 1 - core.LOW or y > 1 + core.HIGH) for y in ratios])
         assert (g.kl, g.clip_share) == pytest.approx((mean([-math.log(y) for y in ratios]), clipped), abs=2e-6)
         assert (g.active_share, g.mean_abs_advantage) == pytest.approx((mean([float(abs(y[3]) > 1e-12) for y in x]), mean([abs(y[3]) for y in x])), abs=2e-6)
-    got = {r.audit_id: r.loss for r in core.queries()["weighted_ce_whole"](spark, folder).collect()}
+    got = {r.audit_id: r.loss for r in core.queries()["weighted_ce"](spark, folder).collect()}
     assert got == pytest.approx(ce, abs=2e-6)
 
 
 def test_ids(spark, answers):
     folder, _, _ = answers
-    got = {r.audit_id: r for r in core.queries()["token_ids_whole"](spark, folder).collect()}
+    got = {r.audit_id: r for r in core.queries()["token_ids"](spark, folder).collect()}
     tokens = {r.audit_id: r.generated_tokens or 0 for r in spark.read.parquet(f"{folder}/audit_result.parquet").collect()}
     assert set(got) == set(tokens)
     for i, g in tokens.items():

@@ -19,8 +19,8 @@ def test_epoch(spark, sf):
                 order[cycle] = sorted(pools[stratum], key=lambda i: (hashlib.sha256(f"{core.SEED}|{cycle}|{i}".encode()).hexdigest(), i))
             at = draw * len(strata) + (k if draw % 2 == 0 else len(strata) - 1 - k)
             want[at] = (order[cycle][draw % n], *stratum, draw, draw >= n)
-    got = core.queries()["balanced_schedule_whole"](spark, sf).collect()
+    got = core.queries()["balanced_schedule"](spark, sf).collect()
     assert len(got) == len(want)
     assert {r.prepared_index: (r.rl_id, r.source, r.label, r.draw, r.is_repeat) for r in got} == want
-    repeats = {(r.source, r.label): (r.draws, r.repeats) for r in core.queries()["schedule_repeats_whole"](spark, sf).collect()}
+    repeats = {(r.source, r.label): (r.draws, r.repeats) for r in core.queries()["schedule_repeats"](spark, sf).collect()}
     assert repeats == {s: (512, max(0, 512 - len(x))) for s, x in pools.items()}

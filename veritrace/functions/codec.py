@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,9 +59,13 @@ def label_of_int(c: Column) -> Column:
 
 
 def reward_label(c: Column) -> Column:
-    """As label_text, without the native third verdict: targets of rewards know two labels."""
+    """A target's label of rewards, which know two: unsafe or 1, safe or 0, in any case; null for anything else, also the texts true and false.
+
+    A boolean column counts as 1 and 0.
+    """
     x = F.lower(trimmed(c.cast("string")))
-    return F.when(x.isin("unsafe", "1", "true"), "unsafe").when(x.isin("safe", "0", "false"), "safe")
+    boolean = F.typeof(c) == "boolean"
+    return F.when(x.isin("unsafe", "1") | (boolean & (x == "true")), "unsafe").when(x.isin("safe", "0") | (boolean & (x == "false")), "safe")
 
 
 def parsed_label(c: Column, fallback: bool = True) -> Column:
@@ -153,6 +157,25 @@ def messages(system: str, user: Column, answer: Column | None = None) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in rows])
 
 
+def rendered(messages: Column, opening: str = "<|{role}|>\n", closing: str = "\n", answer: str = "<|assistant|>\n") -> Column:
+    """A chat as one text: each message between opening and closing, and what the answer begins with. Other templates are other columns.
+
+    {role} stands for the message's role; null contents count as empty, a null list gives null.
+    """
+    before, _, after = opening.partition("{role}")
+    one = lambda m: F.concat(F.lit(before), m["role"], F.lit(after), F.coalesce(m["content"], F.lit("")), F.lit(closing))
+    return F.concat(F.array_join(F.transform(messages, one), ""), F.lit(answer))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """SQL functions for sessions of the caller: strict_label(response) and strict_reward(response, target), both built-in expressions."""
+    quoted = CANON.replace("'", "\\'")
+    nested = "lower(trim(regexp_extract(response, r'%s', 1))) rlike '</?(?:analysis|label)>'" % quoted
+    label = f"case when regexp_extract(response, r'{quoted}', 2) <> '' and trim(regexp_extract(response, r'{quoted}', 1)) <> '' and not {nested} then regexp_extract(response, r'{quoted}', 2) end"
+    spark.sql(f"create or replace temporary function strict_label(response string) returns string return {label}")
+    spark.sql("create or replace temporary function strict_reward(response string, target string) returns double return case when target not in ('safe', 'unsafe') or target is null then null when strict_label(response) is null then -1.25D when strict_label(response) = target then 1D else -1D end")
+
+
 def trajectory_of(prompt: Column) -> Column:
     """What stands between the first open marker and the last close marker after it.
 

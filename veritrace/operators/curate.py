@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritrace.functions import codec
 
 LABELS = ("safe", "unsafe")
 
@@ -149,6 +150,42 @@ def first_of_each(items: DataFrame, by: str, order: list[str], n: int) -> DataFr
     return items.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_k") <= n).drop("_k")
 
 
+# What a reward record says of itself.
+ABILITY, RULE = "trajectory_safety_classification", "strict_outcome_rule"
+
+
+def rl_records(items: DataFrame, split: str, index: str = "prepared_index", draw: Column | None = None, repeat: Column | None = None) -> DataFrame:
+    """items as records for reinforcement learning: data_source, prompt, ability, reward_model, extra_info, and error; other columns stay.
+
+    items: messages without the answer, source, label (safe or unsafe), reason, content_sha256, source_index, sft_line and the column
+    `index`. The trajectory is read back from the last message: error is empty_trajectory where there is none.
+    """
+    last = F.try_element_at("messages", F.size("messages"))["content"]
+    label_int = codec.label_int(F.col("label")).alias("label_int")
+    truth = F.struct("label", label_int, "reason", "source", "content_sha256").alias("ground_truth")
+    extra = F.struct(
+        F.col(index).cast("long").alias("index"), F.lit(split).alias("split"), "source", "source_index", "sft_line", "label", label_int, "content_sha256",
+        (F.lit(0) if draw is None else draw).cast("int").alias("sampling_draw"), (F.lit(False) if repeat is None else repeat).alias("sampling_repeat"),
+    )
+    made = {
+        "data_source": F.col("source"), "prompt": F.col("messages"), "ability": F.lit(ABILITY), "reward_model": F.struct(F.lit(RULE).alias("style"), truth), "extra_info": extra,
+        "error": F.when(codec.trajectory_of(last) == "", "empty_trajectory"),
+    }
+    kept = [c for c in items.columns if c not in (*made, "messages", "source", "label", "reason", "content_sha256", "source_index", "sft_line", index)]
+    return items.select(*kept, *[c.alias(n) for n, c in made.items()])
+
+
+def rl_preconditions(train: DataFrame, held: DataFrame) -> DataFrame:
+    """One row of what must be 0, 0 and 1: hashes that training has repeatedly, those that held-out items have too, system prompts."""
+    sha = train.filter("content_sha256 is not null").groupBy(F.lower("content_sha256").alias("sha")).agg(F.count("*").alias("n"))
+    same = train.filter("content_sha256 is not null").groupBy("content_sha256").agg(F.count("*").alias("n"))
+    leaked = sha.join(held.select(F.lower("content_sha256").alias("sha")).distinct(), "sha", "left_semi")
+    prompts = train.select(F.sha2(F.try_element_at("messages", F.lit(1))["content"], 256).alias("p")).distinct()
+    one = lambda df, c, name: df.agg(c.alias("n")).select(F.lit(name).alias("k"), F.col("n").cast("long").alias("n"))
+    rows = one(same, F.count_if(F.col("n") > 1), "repeated").unionByName(one(leaked, F.count("*"), "leaked")).unionByName(one(prompts, F.count("p"), "system_prompts"))
+    return rows.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("repeated", "leaked", "system_prompts")])
+
+
 def ordered_union(first: Column, second: Column) -> Column:
     """The entries of two lists in order, each once: those of the first (repeats there stay), then what only the second has. Null counts as empty."""
     empty = F.array().cast("array<string>")

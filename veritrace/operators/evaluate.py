@@ -44,10 +44,59 @@ def provenance_mismatch(predictions: DataFrame, items: DataFrame, keys: list[str
     return predictions.join(other, keys).withColumn("wrong", wrong).filter("wrong is not null").drop(*["_" + f for f in fields])
 
 
-def resume_differences(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, old, new) of the settings that differ, of two tables (name, value); settings that one lacks count as null."""
-    a, b = old.select("name", F.col("value").alias("old")), new.select("name", F.col("value").alias("new"))
-    return a.join(b, "name", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+def resume_differences(old: DataFrame, new: DataFrame, required: list[str] | None = None, optional: list[str] | None = None) -> DataFrame:
+    """(name, old, new) of the settings that differ, of two tables (name, value); settings that one lacks count as null.
+
+    With `required` or `optional`, only settings so named count, and an optional one only if the old table has it, so that a new
+    setting doesn't spoil what was recorded before there was one.
+    """
+    a, b = old.select("name", F.col("value").alias("old"), F.lit(True).alias("_had")), new.select("name", F.col("value").alias("new"))
+    both = a.join(b, "name", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    if required is not None or optional is not None:
+        both = both.filter(F.col("name").isin(required or []) | (F.col("name").isin(optional or []) & F.col("_had")))
+    return both.drop("_had")
+
+
+def manifest_errors(rows: DataFrame, index_from: int | None = 0) -> DataFrame:
+    """Adds error: the first thing wrong with the fields that say where a record comes from, null if nothing is.
+
+    bad_source and bad_split (null or blank), bad_index (null, or less than index_from unless that is None), bad_sha256 (not 64
+    hexadecimal digits).
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    index = F.col("source_index")
+    error = F.when(blank("source"), "bad_source").when(blank("source_split"), "bad_split").when(index.isNull() | (index < (index if index_from is None else F.lit(index_from))), "bad_index")
+    return rows.withColumn("error", error.when(~F.coalesce(F.col("content_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), "bad_sha256"))
+
+
+def source_gaps(rows: DataFrame, expected: list[str], source: str = "source") -> DataFrame:
+    """(source, problem, n): sources that aren't expected (unknown, with their rows) and expected ones without a row (missing)."""
+    want = rows.sparkSession.createDataFrame([(s,) for s in expected], f"{source} string").withColumn("_want", F.lit(True))
+    have = rows.groupBy(source).agg(F.count("*").alias("n"))
+    both = have.withColumn("_have", F.lit(True)).join(F.broadcast(want), source, "full_outer")
+    problem = F.when(F.col("_want").isNull(), "unknown").when(F.col("_have").isNull(), "missing")
+    return both.select(source, problem.alias("problem"), F.coalesce("n", F.lit(0)).alias("n")).filter("problem is not null")
+
+
+def checkpoint_of(steps: DataFrame, checkpoints: DataFrame, base: str, step: str = "step", strict: bool = False) -> DataFrame:
+    """Adds the checkpoint path of each step; step 0 is the base model. A step without one has null, or fails the job if strict."""
+    found = steps.join(checkpoints.select(F.col(step), F.col("path").alias("checkpoint")).dropDuplicates([step]), step, "left")
+    path = F.when(F.col(step) == 0, F.lit(base)).otherwise(F.col("checkpoint"))
+    if strict:
+        path = F.coalesce(path, F.raise_error(F.concat(F.lit("no checkpoint of step "), F.col(step).cast("string"))).cast("string"))
+    return found.withColumn("checkpoint", path)
+
+
+def required_missing(settings: DataFrame, required: list[str], by: list[str]) -> DataFrame:
+    """(by, name): required settings that a key lacks; settings has a column name. Keys without any setting aren't known."""
+    want = settings.select(*by).distinct().withColumn("name", F.explode(F.array(*map(F.lit, required))))
+    return want.join(settings.select(*by, "name").distinct(), [*by, "name"], "left_anti")
+
+
+def vocabulary_errors(ids: DataFrame, size: int, by: list[str], col: str = "ids") -> DataFrame:
+    """(by, least, most) of the keys with a token id that isn't in 0 ... size - 1. Empty and null lists have none."""
+    ends = ids.groupBy(*by).agg(F.min(F.array_min(col)).alias("least"), F.max(F.array_max(col)).alias("most"))
+    return ends.filter((F.col("least") < 0) | (F.col("most") >= size))
 
 
 def score(items: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, int, int]]]], prompt: str = "prompt", batch: int = 64) -> DataFrame:

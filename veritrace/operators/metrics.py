@@ -92,11 +92,10 @@ def truncated_prompts(col: str = "prompt_truncated") -> Column:
 
 def pruned(keys: DataFrame, step: str = "step", least: int = 0) -> DataFrame:
     """Steps that are neither the best nor the latest in the end, nor needed, the newest first, to keep `least` of them."""
+    ends = keys.agg(F.max_by(step, _key(step)).alias("best_step"), F.max(step).alias("latest_step"), F.sort_array(F.collect_set(step), asc=False).alias("steps"))
     kept = F.array_distinct(F.array("best_step", "latest_step"))
-    newest = keys.agg(F.sort_array(F.collect_set(step), asc=False).alias("steps"))
     filled = F.concat(kept, F.slice(F.array_except("steps", kept), 1, F.greatest(F.lit(least) - F.size(kept), F.lit(0))))
-    kept = best_and_latest(keys, step).crossJoin(newest).select(F.explode(filled).alias(step))
-    return keys.select(step).join(kept.distinct(), step, "left_anti")
+    return keys.select(step).join(ends.select(F.explode(filled).alias(step)).distinct(), step, "left_anti")
 
 
 def outcome_rates(rows: DataFrame, by: list[str]) -> DataFrame:

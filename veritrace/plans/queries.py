@@ -21,9 +21,8 @@ from veritrace.streaming import incremental
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-SEED, RATIO, ROUNDS, LIMIT, BUDGET, LOW, HIGH = 20250101, 0.9, 64, 25, 6000, 0.2, 0.28
-#: Rounds of a whole epoch, as in the reference; ROUNDS is what the SQL draws.
-EPOCH = 512
+#: ROUNDS are those of a whole epoch.
+SEED, RATIO, ROUNDS, LIMIT, BUDGET, LOW, HIGH = 20250101, 0.9, 512, 25, 6000, 0.2, 0.28
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -99,8 +98,8 @@ def _rates(inner: str, keep: str) -> str:
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """Predictions once each, with gold and the verdict parsed from the answer."""
-    p = evaluate.consolidated(table(spark, d, "prediction"))
-    return p.filter(F.col("gold_label").isin(*curate.LABELS)).withColumns({"gold": F.col("gold_label"), "pred": codec.parsed_label(F.col("prediction"))})
+    p = table(spark, d, "prediction").filter(F.col("gold_label").isin(*curate.LABELS))
+    return evaluate.consolidated(p.withColumns({"gold": F.col("gold_label"), "pred": codec.parsed_label(F.col("prediction"))}), ["run_id", "dataset_index", "source", "gold", "pred"])
 
 
 _PRED = f"(select *, gold_label as gold, {_label('prediction')} as pred from (select distinct * from prediction) where gold_label in ('safe','unsafe'))"
@@ -126,8 +125,9 @@ _DUMP = "(select source, lower(trim(gold_label)) as gold, case when parsed and l
 @query(_rates(f"select source, grouping(source) = 1 as is_overall, {_COUNTS} from {_DUMP} group by grouping sets ((source), ())", "source, is_overall"))
 def validation_metrics(spark: SparkSession, d: str) -> DataFrame:
     low = lambda c: F.lower(F.trim(c))
-    p = evaluate.consolidated(table(spark, d, "prediction")).withColumn("gold", low("gold_label")).filter(F.col("gold").isin(*curate.LABELS))
-    return metrics.metrics(p.withColumn("pred", F.when(F.col("parsed") & low("predicted_label").isin(*curate.LABELS), low("predicted_label"))))
+    p = table(spark, d, "prediction").withColumn("gold", low("gold_label")).filter(F.col("gold").isin(*curate.LABELS))
+    p = p.withColumn("pred", F.when(F.col("parsed") & low("predicted_label").isin(*curate.LABELS), low("predicted_label")))
+    return metrics.metrics(evaluate.consolidated(p, ["run_id", "dataset_index", "source", "gold", "pred"]))
 
 
 @query(f"select run_id, string_agg(cell || '=' || n, ';' order by cell || '=' || n) as confusion from (select run_id, 'gold_' || gold || '__pred_' || coalesce(pred, 'unparseable') as cell, count(*)::varchar as n from {_PRED} group by 1, 2) group by run_id")
@@ -276,12 +276,17 @@ def event_view(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "select item_id, case when content is null or label is null or reason is null then 'missing_key' when trim(content) = '' then 'bad_content' when label not in (0, 1) then 'bad_label' "
-    f"when {_strip('reason')} = '' then 'bad_reason' when {_strip('source')} = '' then 'bad_source' end as error from source_item"
+    "select item_id, case when item_id % 17 = 3 then 'not_json' when item_id % 17 = 5 then 'not_object' when content is null or label is null or reason is null then 'missing_key' when item_id % 17 = 7 then 'unknown_key' when trim(content) = '' or item_id % 17 = 9 then 'bad_content' when label not in (0, 1) or item_id % 17 = 11 then 'bad_label' "
+    f"when {_strip('reason')} = '' or item_id % 17 = 13 then 'bad_reason' when {_strip('source')} = '' or item_id % 17 = 15 then 'bad_source' end as error from source_item"
 )
 def record_errors(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "source_item").select("item_id", F.to_json(F.struct("content", "label", "reason", "source")).alias("raw"))
-    return raw.select("item_id", records.record_error(F.try_parse_json("raw"), F.col("raw")).alias("error"))
+    """Records written as JSON, with one of each kind of damage by their id."""
+    rest = F.col("item_id") % 17
+    cols = F.col("content"), F.when(rest == 11, F.col("label") + 2).otherwise(F.col("label")).alias("label"), F.when(rest == 13, F.when(F.col("reason").isNotNull(), " \t")).otherwise(F.col("reason")).alias("reason"), F.when(rest == 15, " ").otherwise(F.col("source")).alias("source")
+    good = F.to_json(F.struct(F.when(rest == 9, F.when(F.col("content").isNotNull(), "")).otherwise(F.col("content")).alias("content"), *cols[1:]))
+    raw = F.when(rest == 3, F.substring(good, 1, 12)).when(rest == 5, F.concat(F.lit("["), good, F.lit("]"))).when(rest == 7, F.to_json(F.struct(*cols, F.lit(1).alias("more")))).otherwise(good)
+    rows = table(spark, d, "source_item").select("item_id", raw.alias("raw"))
+    return rows.select("item_id", records.record_error(F.try_parse_json("raw"), F.col("raw")).alias("error"))
 
 
 # ---- curation
@@ -411,23 +416,9 @@ def balanced_schedule(spark: SparkSession, d: str) -> DataFrame:
     return curate.balanced_schedule(_rl(spark, d), ROUNDS, SEED, "rl_id")
 
 
-@query()
-def balanced_schedule_whole(spark: SparkSession, d: str) -> DataFrame:
-    return curate.balanced_schedule(_rl(spark, d), EPOCH, SEED, "rl_id")
-
-
 @query(f"select source, label, count(*) as draws, count(*) filter (where is_repeat) as repeats from {_SCHEDULE} group by 1, 2")
 def schedule_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return _repeats(balanced_schedule(spark, d))
-
-
-@query()
-def schedule_repeats_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _repeats(balanced_schedule_whole(spark, d))
-
-
-def _repeats(schedule: DataFrame) -> DataFrame:
-    return schedule.groupBy("source", "label").agg(F.count("*").alias("draws"), F.count_if("is_repeat").alias("repeats"))
+    return balanced_schedule(spark, d).groupBy("source", "label").agg(F.count("*").alias("draws"), F.count_if("is_repeat").alias("repeats"))
 
 
 @query(f"select source, label, grouping_id(source, label)::int as level, count(*) as n from {_ITEMS} group by grouping sets ((source, label), (source), (label), ())")
@@ -479,15 +470,21 @@ def rl_record(spark: SparkSession, d: str) -> DataFrame:
 _KEY = ["source", "source_split", "source_index"]
 
 
-@query(f"select item_id, source, source_split, source_index from {_ITEMS} i where source_split <> 'train' and not exists (select 1 from prediction p where p.source = i.source and p.source_split = i.source_split and p.source_index = i.source_index)")
+_FIRST = "(select min(run_id) from prediction)"
+
+
+@query(f"select item_id, source, source_split, source_index from {_ITEMS} i where source_split <> 'train' and not exists (select 1 from prediction p where p.run_id = {_FIRST} and p.source = i.source and p.source_split = i.source_split and p.source_index = i.source_index)")
 def pending_items(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "prediction").select(*_KEY)
+    """What the first run has still to do."""
+    p = table(spark, d, "prediction")
+    done = p.join(F.broadcast(p.agg(F.min("run_id").alias("run_id"))), "run_id", "left_semi").select(*_KEY)
     return evaluate.pending(_items(spark, d).filter("source_split <> 'train'"), done, _KEY).select("item_id", *_KEY)
 
 
-@query("select run_id, dataset_index, sum(c)::bigint as n_rows, count(*) as n_versions from (select run_id, dataset_index, count(*) as c from prediction group by all) group by 1, 2 having count(*) > 1".replace("group by all", "group by " + ", ".join("run_id dataset_index source source_split source_index content_sha256 gold_label predicted_label parsed correct prompt_tokens original_prompt_tokens prompt_truncated generated_tokens batch_generation_seconds prediction predicted_at loaded_at".split())))
+@query("select source, source_split, source_index, sum(c)::bigint as n_rows, count(*) as n_versions from (select source, source_split, source_index, coalesce(predicted_label, '-'), count(*) as c from prediction group by 1, 2, 3, 4) group by 1, 2, 3 having count(*) > 1")
 def prediction_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.conflicts(table(spark, d, "prediction"), ["run_id", "dataset_index"])
+    """Items that runs judge differently; an answer without a verdict is a judgement too."""
+    return evaluate.conflicts(table(spark, d, "prediction").select(*_KEY, F.coalesce("predicted_label", F.lit("-")).alias("verdict")), _KEY)
 
 
 @query("select run_id, count(*) as n_missing from (select run_id, unnest(range(max(dataset_index)::bigint + 1)) as i from prediction where dataset_index >= 0 group by run_id) e where not exists (select 1 from prediction p where p.run_id = e.run_id and p.dataset_index = e.i) group by run_id")
@@ -504,7 +501,7 @@ def missing_predictions(spark: SparkSession, d: str) -> DataFrame:
 )
 def provenance_mismatch(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d).select(*_KEY, codec.label_of_int(F.col("label")).alias("gold_label"), F.col("sha").alias("content_sha256"))
-    p = evaluate.consolidated(table(spark, d, "prediction")).withColumn("content_sha256", F.lower("content_sha256"))
+    p = evaluate.consolidated(table(spark, d, "prediction"), ["run_id", "dataset_index", *_KEY, "gold_label", "content_sha256"]).withColumn("content_sha256", F.lower("content_sha256"))
     return evaluate.provenance_mismatch(p, items, _KEY, ["gold_label", "content_sha256"]).select("run_id", "dataset_index", "wrong")
 
 
@@ -535,11 +532,10 @@ _SCORED_SQL = f"(select audit_id, source, generated_tokens, error is null as par
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "audit_result").dropDuplicates().filter(F.col("label").isin(*curate.LABELS)).withColumn("s", codec.strict_response(F.col("raw_output")))
+    a = table(spark, d, "audit_result").filter(F.col("label").isin(*curate.LABELS)).withColumn("s", codec.strict_response(F.col("raw_output")))
     s = F.col("s")
-    return a.select(
-        "audit_id", "source", "generated_tokens", s["valid"].alias("parsed"), tensors.strict_reward(s["valid"], s["label"], F.col("label")).alias("reward"), F.coalesce(s["valid"] & (s["label"] == F.col("label")), F.lit(False)).alias("correct")
-    )
+    a = a.withColumns({"parsed": s["valid"], "reward": tensors.strict_reward(s["valid"], s["label"], F.col("label")), "correct": F.coalesce(s["valid"] & (s["label"] == F.col("label")), F.lit(False))}).drop("s")
+    return evaluate.consolidated(a, ["audit_id", "source", "generated_tokens", "parsed", "reward", "correct"])
 
 
 @query(f"select audit_id, parsed, correct, reward from {_SCORED_SQL}")
@@ -554,14 +550,12 @@ def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
     return metrics.outcome_rates(_scored(spark, d), ["source"])
 
 
-_ADV_SQL = f"(select *, reward - avg(reward) over (partition by source) as advantage, least(coalesce(generated_tokens, 0), 64) as v from {_SCORED_SQL})"
+_ADV_SQL = f"(select *, reward - avg(reward) over (partition by source) as advantage, coalesce(generated_tokens, 0) as v from {_SCORED_SQL})"
 
 
-def _batched(spark: SparkSession, d: str, most: int | None = 64) -> DataFrame:
-    """Scored answers with token arrays: the valid places (up to `most`, without it all) and 4 of padding, log probabilities by arithmetic."""
-    v = F.coalesce("generated_tokens", F.lit(0))
-    v = v if most is None else F.least(v, F.lit(most))
-    rows = tensors.centred_advantage(_scored(spark, d), "source").withColumn("v", v).withColumn("mask", F.transform(F.sequence(F.lit(0), F.col("v") + 3), lambda i: i < F.col("v")))
+def _batched(spark: SparkSession, d: str) -> DataFrame:
+    """Scored answers with token arrays: the valid places and 4 of padding, log probabilities by arithmetic."""
+    rows = tensors.centred_advantage(_scored(spark, d), "source").withColumn("v", F.coalesce("generated_tokens", F.lit(0))).withColumn("mask", F.transform(F.sequence(F.lit(0), F.col("v") + 3), lambda i: i < F.col("v")))
     logp = lambda a, b, m, s: F.transform("mask", lambda _, i: -((F.col("audit_id") * a + i * b) % m).cast("double") / s)
     return rows.withColumn("new", logp(31, 17, 97, 40.0)).withColumn("old", logp(29, 13, 89, 37.0))
 
@@ -571,17 +565,11 @@ def batch_advantage(spark: SparkSession, d: str) -> DataFrame:
     return tensors.centred_advantage(_scored(spark, d), "source").select("audit_id", "source", F.round("advantage", 9).alias("advantage"))
 
 
-@query(f"select audit_id, (v + 4)::int as length, v::int as valid, greatest(v - 1, 0)::int as reward_at, reward as reward_sum, round(advantage * v, 6) as advantage_sum, least(v, 12)::int as label_tokens, greatest(v - 12, 0)::int as analysis_tokens from {_ADV_SQL}")
+@query(f"select audit_id, (v + 4)::int as length, v::int as valid, greatest(v - 1, 0)::int as reward_at, reward as reward_sum, round(advantage * v, 6) + 0.0 as advantage_sum, least(v, 12)::int as label_tokens, greatest(v - 12, 0)::int as analysis_tokens from {_ADV_SQL}")
 def token_regions(spark: SparkSession, d: str) -> DataFrame:
     return _token_regions(_batched(spark, d))
 
 
-@query()
-def token_regions_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Over every token of each answer; the SQL of the query without _whole stops at 64. Tests hold the _whole queries against loops."""
-    return _token_regions(_batched(spark, d, None))
-
-
 def _token_regions(batched: DataFrame) -> DataFrame:
     m = F.col("mask")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
@@ -603,32 +591,27 @@ def region_loss(spark: SparkSession, d: str) -> DataFrame:
     return _region_loss(_batched(spark, d))
 
 
-@query()
-def region_loss_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _region_loss(_batched(spark, d, None))
-
-
 def _region_loss(batched: DataFrame) -> DataFrame:
     b = batched.withColumn("terms", tensors.clipped_terms(F.col("new"), F.col("old"), F.col("advantage"), LOW, HIGH))
     return tensors.region_loss(b, "source").select("source", *[F.round(c, 6).alias(c) for c in ("analysis_loss", "label_loss", "loss")], "n")
 
 
+_MEAN = "round(coalesce(sum({x} * {n}) / nullif(sum({n}), 0), 0), 6)"
+_ACTIVE, _ABS, _LABEL_N = "(advantage <> 0)::int::double", "abs(advantage)", "least(v, 12)"
+
+
 @query(
-    f"with t as {_TOK}, s as (select source, sum(-ln(r)) as kl, count(*) filter (where r < {1 - LOW} or r > {1 + HIGH}) as c, count(*) as n from t group by source), a as (select source, avg((advantage <> 0)::int::double) as act, avg(abs(advantage)) as ab from {_ADV_SQL} group by source) "
-    "select source, round(coalesce(kl / n, 0), 6) as kl, round(coalesce(c / n, 0), 6) as clip_share, round(act, 6) as active_share, round(ab, 6) as mean_abs_advantage from a left join s using (source)"
+    f"with t as {_TOK}, s as (select source, sum(-ln(r)) as kl, count(*) filter (where r < {1 - LOW} or r > {1 + HIGH}) as c, count(*) as n from t group by source), a as (select source, round(avg({_ACTIVE}), 6) as act, round(avg({_ABS}), 6) as ab, "
+    f"{_MEAN.format(x=_ACTIVE, n='v')} as active_token_share, {_MEAN.format(x=_ABS, n=f'(v - {_LABEL_N})')} as analysis_abs_advantage, {_MEAN.format(x=_ABS, n=_LABEL_N)} as label_abs_advantage from {_ADV_SQL} group by source) "
+    "select source, round(coalesce(kl / n, 0), 6) as kl, round(coalesce(c / n, 0), 6) as clip_share, act as active_share, ab as mean_abs_advantage, active_token_share, analysis_abs_advantage, label_abs_advantage from a left join s using (source)"
 )
 def loss_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return _loss_diagnostics(_batched(spark, d))
 
 
-@query()
-def loss_diagnostics_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _loss_diagnostics(_batched(spark, d, None))
-
-
 def _loss_diagnostics(batched: DataFrame) -> DataFrame:
     x = tensors.loss_diagnostics(batched, "source", LOW, HIGH)
-    return x.select("source", *[F.round(c, 6).alias(c) for c in ("kl", "clip_share", "active_share", "mean_abs_advantage")])
+    return x.select("source", *[F.round(c, 6).alias(c) for c in ("kl", "clip_share", "active_share", "mean_abs_advantage", "active_token_share", "analysis_abs_advantage", "label_abs_advantage")])
 
 
 @query(f"select a.audit_id, round(coalesce(x.s / greatest(x.w, 1), 0) + 1e-9, 6) as loss from {_ADV_SQL} a left join (select audit_id, sum(-new * case when i >= v - 12 then 4.0 else 1.0 end) as s, sum(case when i >= v - 12 then 4.0 else 1.0 end) as w from {_TOK} group by audit_id) x using (audit_id)")
@@ -636,11 +619,6 @@ def weighted_ce(spark: SparkSession, d: str) -> DataFrame:
     return _weighted_ce(_batched(spark, d))
 
 
-@query()
-def weighted_ce_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _weighted_ce(_batched(spark, d, None))
-
-
 def _weighted_ce(batched: DataFrame) -> DataFrame:
     loss = F.transform("new", lambda x: -x)
     return batched.select("audit_id", F.round(tensors.weighted_mean_loss(loss, F.col("mask"), tensors.TAIL, 4.0) + 1e-9, 6).alias("loss"))
@@ -665,30 +643,31 @@ def truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "with a as (select distinct audit_id, coalesce(generated_tokens, 0) as g from audit_result), i as (select audit_id, list_transform(range((g % 23)::bigint + 1), lambda i: case when i >= g % 23 - g % 5 then 0 else (audit_id + i * i) % 11 - 1 end) as ids from a) "
+    "with a as (select distinct audit_id, coalesce(generated_tokens, 0) as g from audit_result), i as (select audit_id, list_transform(range(g::bigint + 1), lambda i: case when i >= g - g % 5 then 0 else (audit_id + i * i) % 11 - 1 end) as ids from a) "
     "select audit_id, len(ids)::int as n, (len(ids) - coalesce(list_position(list_transform(list_reverse(ids), lambda x: x <> 0), true) - 1, len(ids)))::int as n_padding_before, len(list_distinct(list_filter(ids, lambda x: x >= 0)))::int as n_distinct, list_sum(ids[1:8])::bigint as prefix_sum, len(ids) > 8 as truncated from i"
 )
 def token_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _token_ids(spark, d, lambda g: g % 23)
-
-
-@query()
-def token_ids_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _token_ids(spark, d, lambda g: g)
-
-
-def _token_ids(spark: SparkSession, d: str, last: Callable[[Column], Column]) -> DataFrame:
-    a = table(spark, d, "audit_result").select("audit_id", F.coalesce("generated_tokens", F.lit(0)).alias("g")).distinct()
-    g = F.col("g")
-    ids = F.transform(F.sequence(F.lit(0), last(g)), lambda i: F.when(i >= last(g) - g % 5, F.lit(0).cast("bigint")).otherwise((F.col("audit_id") + i * i) % 11 - 1))
-    x = a.withColumn("ids", ids)
     prefix = tensors.prefix_ids(F.col("ids"), 8)
-    return x.select(
+    return _ids(spark, d).select(
         "audit_id", F.size("ids").alias("n"), F.size(tensors.without_padding(F.col("ids"), 0)).alias("n_padding_before"), F.size(tensors.distinct_ids(F.col("ids"))).alias("n_distinct"),
         F.aggregate(prefix["ids"], F.lit(0).cast("bigint"), lambda s, y: s + y).alias("prefix_sum"), prefix["truncated"].alias("truncated"),
     )
 
 
+def _ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids by arithmetic, as many as an answer has tokens and one more; the last few are padding."""
+    a = table(spark, d, "audit_result").select("audit_id", F.trim("source").alias("source"), F.coalesce("generated_tokens", F.lit(0)).alias("g")).distinct()
+    g = F.col("g")
+    return a.withColumn("ids", F.transform(F.sequence(F.lit(0), g), lambda i: F.when(i >= g - g % 5, F.lit(0).cast("bigint")).otherwise((F.col("audit_id") + i * i) % 11 - 1)))
+
+
+@query(
+    "select source, min(x) as least, max(x) as most from (select trim(source) as source, unnest(list_transform(range(coalesce(generated_tokens, 0)::bigint + 1), lambda i: case when i >= coalesce(generated_tokens, 0) - coalesce(generated_tokens, 0) % 5 then 0 else (audit_id + i * i) % 11 - 1 end)) as x from audit_result) group by 1 having min(x) < 0 or max(x) >= 9"
+)
+def vocabulary_check(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.vocabulary_errors(_ids(spark, d), 9, ["source"])
+
+
 # ---- streams
 
 
