@@ -30,6 +30,8 @@ _LONG = {chr(c): chr(c).casefold() for c in range(0x80, 0x110000) if len(chr(c).
 
 #: Letters that case folding changes although they are in lower case (final sigma, long s and the like).
 _VARIANTS = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.lower() == c != c.casefold() and len(c.casefold()) == 1}
+#: Upper-case letters of which lower case makes one of these.
+_BEFORE = {c for c in map(chr, range(0x80, 0x110000)) if c.lower() != c and c.lower() in _VARIANTS}
 
 
 def _near(letters) -> str:
@@ -49,8 +51,8 @@ def folded(rows: DataFrame, col: str) -> DataFrame:
     Each step is a projection of its own, so that a text is taken through it once.
     """
     c, rare = F.col(col), F.col("_rare")
-    # one look for all letters that lower case alone doesn't fold; few texts have any
-    rows = rows.withColumn("_rare", (F.octet_length(c) > F.length(c)) & c.rlike(_near([*_LONG, *_VARIANTS, "ß", "ẞ"])))
+    # one look for all letters that lower case alone doesn't fold, or turns into one of those; few texts have any
+    rows = rows.withColumn("_rare", (F.octet_length(c) > F.length(c)) & c.rlike(_near({*_LONG, *_VARIANTS, *_BEFORE, "ß", "ẞ"})))
     rows = rows.withColumn(col, F.when(rare, F.regexp_replace(c, "[ßẞ]", "ss")).otherwise(c))
     long = c
     for letter, fold in _LONG.items():
