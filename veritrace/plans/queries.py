@@ -635,9 +635,18 @@ def truncate_chars(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rl_item").filter("messages is not null").select("rl_id", truncate.truncated_chars(F.col("messages"), BUDGET).alias("t")).select("rl_id", "t.*")
 
 
-@query()
+#: Words of a text as Python splits it.
+_WORDS = "case when {x} is null or {s} = '' then 0 else len(regexp_split_to_array({s}, '{ws}')) end"
+_COUNT = "coalesce(list_sum(list_transform(messages, lambda m: 1 + " + _WORDS.format(x="m.content", s=_strip("m.content"), ws=_WS) + ")), 0)"
+_LAST_USER = "list_filter(messages, lambda m: m.role = 'user')[-1].content"
+
+
+@query(
+    f"with t as (select rl_id, messages, {_COUNT} as n, len(list_filter(messages, lambda m: m.role = 'user')) as users, {_WORDS.format(x=_LAST_USER, s=_strip(_LAST_USER), ws=_WS)} as u from rl_item), e as (select *, case when messages is null then 'not_a_list' when n <= 400 then null when users = 0 then 'no_user_message' when n - u > 400 then 'fixed_part_too_long' end as error from t) "
+    "select rl_id, case when messages is not null then n end::int as prompt_original_tokens, case when messages is null then null when error is null and n > 400 then 400 else n end::int as prompt_visible_tokens, case when messages is not null then error is null and n > 400 end as prompt_right_truncated, error as prompt_error from e"
+)
 def truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """A tokenizer's count has no SQL form; tests hold it against trying every prefix."""
+    """Tokens are words here, so a prefix can be found for every budget; tests hold the cut itself against trying every prefix."""
     t = truncate.with_truncation(table(spark, d, "rl_item").select("rl_id", "messages"), 400)
     return t.select("rl_id", "prompt_original_tokens", "prompt_visible_tokens", "prompt_right_truncated", "prompt_error")
 
@@ -683,9 +692,13 @@ def stream_once(spark: SparkSession, d: str) -> DataFrame:
     return incremental.drained(incremental.once_each(s, ["run_id", "dataset_index"]), "append", "once")
 
 
-@query()
+@query(
+    "with e as (select source || '/' || run_id as run, dataset_index::bigint as step, max(coalesce(generated_tokens, 0)) as k from prediction where dataset_index is not null and source is not null group by 1, 2), "
+    "b as (select *, max(k) over (partition by run order by step) as top from e) "
+    "select run, step, best_step, step as latest_step, case when best_step = step then step::varchar else best_step || ',' || step end as kept from (select run, step, (select min(f.step) from e f where f.run = b.run and f.step <= b.step and f.k = b.top) as best_step from b)"
+)
 def stream_retention(spark: SparkSession, d: str) -> DataFrame:
-    """Checkpoints as their validations and saves arrive; the order of arrival decides the rows, tests replay a fixed one."""
+    """Checkpoints as their validations and saves arrive: in the order of steps, as the table is one file; tests replay other orders."""
     s = incremental.table_stream(spark, f"{d}/prediction.parquet").filter("dataset_index is not null").select("source", "run_id", "dataset_index", "generated_tokens")
     both = F.explode(F.array(F.lit("save"), F.lit("validation"))).alias("kind")
     score: Column = F.coalesce(F.col("generated_tokens"), F.lit(0)) / 100.0
