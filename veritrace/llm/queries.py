@@ -94,7 +94,14 @@ _WINDOWS = r"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that have a form short of the operator itself; the others are tested against brute force."""
+    windows = r"(select {id}, i, array_to_string(ws[i : i + 11], ' ') as k from (select {id}, ws, unnest(range(1, len(ws) - 10)) as i from (select {id}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as ws from (select distinct {id}, text from {table}) where text is not null) where len(ws) >= 12))"
+    runs = (
+        f"with m as (select distinct d.doc_id, e.item_id, d.i, d.i - e.i as diagonal from {windows.format(id='doc_id', table='documents')} d join {windows.format(id='item_id', table='eval_passage')} e on d.k = e.k), "
+        "g as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as island from m), r as (select item_id, doc_id, count(*) + 11 as words from g group by item_id, doc_id, diagonal, island) "
+    )
     return {
+        "p7_items": runs + r"select p.item_id, p.n as n_words, coalesce(x.n_docs, 0) as n_docs, coalesce(x.longest, 0)::int as longest, coalesce(x.longest >= p.n, false) as whole from (select item_id, coalesce(len(regexp_extract_all(text, '[\p{L}\p{N}]+')), 0)::int as n from eval_passage) p "
+        "left join (select item_id, count(distinct doc_id) as n_docs, max(words) as longest from r group by 1) x on p.item_id = x.item_id",
         "p4_found": "select distinct rl_id from rl_item r join (select trim(source) as source, min(max_chars) as most from split_limit where max_chars >= 1 group by 1) l on trim(r.source) = l.source "
         "where coalesce(list_sum(list_transform(messages, lambda m: coalesce(length(m.content), 0))), 0) > most",
         "p7_found": f"select distinct d.doc_id, e.item_id from {_WINDOWS.format(id='doc_id', table='documents')} d join {_WINDOWS.format(id='item_id', table='eval_passage')} e on d.k = e.k",
