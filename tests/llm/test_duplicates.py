@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -156,6 +157,11 @@ def test_cross_split_against_brute_force(spark):
     rows += [(900, "train", None), (901, "test", None), (902, "train", ""), (903, "test", "..."), (904, "train", "表单 队列"), (905, "test", "表单队列"), (906, "train", "one"), (907, "test", "ONE!")]
     got = [tuple(r) for r in C.cross_split_pairs(table(spark, rows)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
+    partners = Counter(x for pair in got for x in pair)
+    classes = C.cross_split_classes(table(spark, rows)).collect()
+    assert len(classes) == len(partners) and {r.item_id: r.n_links for r in classes} == partners
+    text = {i: tuple(words(c)) for i, _, c in rows if c is not None}
+    assert all(text[r.class_id] == text[r.item_id] for r in classes)
 
 
 def test_cross_split_hot_class(spark, monkeypatch):

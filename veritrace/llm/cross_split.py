@@ -220,13 +220,9 @@ def _with_both(pairs: DataFrame, side: DataFrame, col: str) -> DataFrame:
     return one.join(side.select(F.col("id").alias("b"), F.col(col).alias("cb")), "b")
 
 
-def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, ...] = ("validation", "test"), share: float = SHARE, buckets: int = SKETCH) -> DataFrame:
-    """(item_id_a, item_id_b), a < b: each pair of a training record and a held-out record that match.
-
-    items: item_id, source_split, content; other columns are ignored. Null contents and records without a word match
-    nothing; splits other than those named take no part; a repeated item_id counts once. Words are compared by 32-bit
-    hashes. Empty input gives no rows.
-    """
+def _linked(items: DataFrame, train: str, held: tuple[str, ...], share: float, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(copies, links) as written tables: copies rep, id, held of every record with its class; links a, b of the representatives of
+    a training class and a held-out class that match (the same one if a class is on both sides)."""
     spark = items.sparkSession
     rows = items.select(F.col("item_id").alias("id"), F.col("source_split").isin(*held).cast("byte").alias("held"), F.col("content").alias("text")).filter(
         F.col("source_split").isin(train, *held) & F.col("content").isNotNull() & F.col("item_id").isNotNull()
@@ -278,6 +274,18 @@ def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, .
     open_ids = materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "split-near-ids")
     pairs = _with_both(near, semi_checked(text, open_ids, "id"), "seq").select("a", "b", "ca", "cb").mapInArrow(_verify(share), "a long, b long")
     links = materialize(pairs.unionByName(mixed.select(F.col("id").alias("a"), F.col("id").alias("b"))), "split-links")
+    return copies, links
+
+
+def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, ...] = ("validation", "test"), share: float = SHARE, buckets: int = SKETCH) -> DataFrame:
+    """(item_id_a, item_id_b), a < b: each pair of a training record and a held-out record that match.
+
+    items: item_id, source_split, content; other columns are ignored. Null contents and records without a word match
+    nothing; splits other than those named take no part; a repeated item_id counts once. Words are compared by 32-bit
+    hashes. Empty input gives no rows. The pairs of a class of n training and m held-out copies are n * m; cross_split_classes has the
+    same links without writing them out.
+    """
+    copies, links = _linked(items, train, held, share, buckets)
     # from classes back to records: the held side first, then the training side, hot classes spread
     held_side = skew_join(copies.filter("held = 1").select(F.col("rep").alias("b"), F.col("id").alias("h")), links, ["b"])
     held_side = materialize(held_side.select("a", "h"), "split-held-links")
@@ -285,6 +293,21 @@ def cross_split_pairs(items: DataFrame, train: str = "train", held: tuple[str, .
     return out.select(F.least("t", "h").alias("item_id_a"), F.greatest("t", "h").alias("item_id_b")).distinct()
 
 
+def cross_split_classes(items: DataFrame, train: str = "train", held: tuple[str, ...] = ("validation", "test"), share: float = SHARE, buckets: int = SKETCH) -> DataFrame:
+    """(item_id, class_id, n_links): one row a record that matches one of the other side, with its class and the number of its partners.
+
+    class_id is the smallest item_id of the records with the same words. Copies aren't expanded into pairs: what is summed are the
+    sizes of linked classes. Input and odd cases as in cross_split_pairs.
+    """
+    copies, links = _linked(items, train, held, share, buckets)
+    links = links.distinct()
+    size = copies.groupBy("rep").agg(F.count_if(F.col("held") == 1).alias("n_held"), F.count_if(F.col("held") == 0).alias("n_train"))
+    of_train = links.join(size.select(F.col("rep").alias("b"), "n_held"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_held").alias("n_links")).withColumn("held", F.lit(0).cast("byte"))
+    of_held = links.join(size.select(F.col("rep").alias("a"), "n_train"), "a").groupBy(F.col("b").alias("rep")).agg(F.sum("n_train").alias("n_links")).withColumn("held", F.lit(1).cast("byte"))
+    counts = materialize(of_train.unionByName(of_held), "split-link-counts")
+    return skew_join(copies, counts, ["rep", "held"]).select(F.col("id").alias("item_id"), F.col("rep").alias("class_id"), "n_links")
+
+
 def overlap_report(items: DataFrame, **params) -> DataFrame:
     """Per held-out split and trimmed source: pairs, held-out records concerned, training records concerned, and all held-out records."""
     held = params.get("held", ("validation", "test"))

@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.cross_split_pairs(table(spark, sf_dir, "source_item"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.cross_split_classes(table(spark, sf_dir, "source_item"))
+
+
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(table(spark, sf_dir, "source_item"))
 
@@ -83,7 +87,7 @@ def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_report, p8_validation)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_classes, p2_report, p3_mixture, p3_shares, p4_found, p4_pieces, p4_report, p5_found, p5_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_report, p8_validation)}
 
 
 _WINDOWS = r"""
