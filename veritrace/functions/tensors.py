@@ -157,8 +157,8 @@ def loss_diagnostics(df: DataFrame, batch: str, low: float, high: float, tail: i
     )
 
 
-def reward_record(response: Column, strict: Column, target: Column, source: Column, sha256: Column) -> list[Column]:
-    """What is logged of a scored response: nine columns. strict is codec.strict_response of it; an unknown source is 'unknown'."""
+def reward_record(strict: Column, target: Column, source: Column, sha256: Column) -> list[Column]:
+    """What is logged of a scored response: nine columns. strict is its codec.strict_response; an unknown source is 'unknown'."""
     reward = strict_reward(strict["valid"], strict["label"], target)
     return [
         reward.alias("outcome_reward"), reward.alias("label_reward"), F.coalesce(strict["valid"] & (strict["label"] == target), F.lit(False)).cast("double").alias("label_correct"),

@@ -23,18 +23,17 @@ def conflicts(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct(rest).alias("n_versions")).filter("n_versions > 1")
 
 
-def consolidated(predictions: DataFrame, columns: list[str] | None = None, keys: list[str] | None = None) -> DataFrame:
+def consolidated(predictions: DataFrame, columns: list[str] | None = None, whole: list[str] | None = None) -> DataFrame:
     """Repeated rows once.
 
-    With `columns`, only these come out, and rows are told apart by two hashes of the whole row (and `keys`, which should be in
-    it): long texts that aren't wanted are hashed where they are read, not shuffled. Rows that differ in a column that isn't kept
-    stay two rows.
+    With `columns`, only these come out, and rows are told apart by them and two hashes of the whole row (of the columns `whole`, if
+    the others follow from them): long texts that aren't wanted are hashed where they are read, not shuffled. Rows that differ in a
+    column that isn't kept stay two rows.
     """
     if not columns:
         return predictions.dropDuplicates()
-    whole = predictions.columns
-    marked = predictions.select(*columns, F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(7), *reversed(whole)).alias("_h2"))
-    return marked.dropDuplicates([*(k for k in keys or [] if k in columns), "_h1", "_h2"]).drop("_h1", "_h2")
+    whole = whole or predictions.columns
+    return predictions.select(*columns, F.xxhash64(*whole).alias("_h1"), F.xxhash64(F.lit(7), *reversed(whole)).alias("_h2")).distinct().drop("_h1", "_h2")
 
 
 def provenance_mismatch(predictions: DataFrame, items: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

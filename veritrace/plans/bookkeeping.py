@@ -138,10 +138,11 @@ _REWARD = f"(case when error is not null then -1.25 when {_CANON_LABEL} = label
     f"coalesce(source, 'unknown') as source, coalesce(sha, '') as content_sha256, case when error is null then length({_CANON_TEXT}) else 0 end::double as analysis_chars from {_LOGGED} a left join (select item_id as i, sha from {_ITEMS}) s on a.item_id = s.i"
 )
 def reward_record(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "audit_result").filter("label in ('safe', 'unsafe')").withColumn("s", codec.strict_response(F.col("raw_output")))
-    a = a.join(_items(spark, d).select("item_id", "sha"), "item_id", "left")
-    once = evaluate.consolidated(a, ["audit_id", "raw_output", "s", "label", "source", "sha"])
-    return once.select("audit_id", *tensors.reward_record(F.col("raw_output"), F.col("s"), F.col("label"), F.col("source"), F.col("sha")))
+    t = table(spark, d, "audit_result").filter("label in ('safe', 'unsafe')")
+    a = t.withColumn("s", codec.strict_response(F.col("raw_output"))).join(_items(spark, d).select("item_id", "sha"), "item_id", "left")
+    logged = a.select(*[c for c in t.columns if c != "source"], F.col("source").alias("_source"), *tensors.reward_record(F.col("s"), F.col("label"), F.col("source"), F.col("sha")))
+    names = ["outcome_reward", "label_reward", "label_correct", "parse_ok", "pred", "target_label", "source", "content_sha256", "analysis_chars"]
+    return evaluate.consolidated(logged, ["audit_id", *names], [c for c in t.columns if c != "source"] + ["_source"])
 
 
 @query(f"select audit_id, coalesce(case when audit_id % 3 = 0 then (audit_id % 2)::double end, {_REWARD}) as score from {_LOGGED}")
@@ -149,8 +150,9 @@ def score_passthrough(spark: SparkSession, d: str) -> DataFrame:
     """A score that came with the rows (a third of them has one) is kept."""
     a = table(spark, d, "audit_result").filter("label in ('safe', 'unsafe')").withColumn("s", codec.strict_response(F.col("raw_output")))
     given = F.when(F.col("audit_id") % 3 == 0, (F.col("audit_id") % 2).cast("double"))
-    a = a.withColumn("score", tensors.given_or(given, tensors.strict_reward(F.col("s.valid"), F.col("s.label"), F.col("label")))).drop("s")
-    return evaluate.consolidated(a, ["audit_id", "score"])
+    whole = [c for c in a.columns if c != "s"]
+    a = a.withColumn("score", tensors.given_or(given, tensors.strict_reward(F.col("s.valid"), F.col("s.label"), F.col("label"))))
+    return evaluate.consolidated(a, ["audit_id", "score"], whole)
 
 
 _PER = f"(select a.audit_id, a.source, coalesce(avg(term) filter (where i < v2), 0) as ma, coalesce(avg(term) filter (where i >= v2), 0) as ml from (select *, greatest(v - 12, 0) as v2 from {_ADV_SQL}) a left join (select audit_id, i, term from {_TOK}) t using (audit_id) group by 1, 2)"

@@ -99,7 +99,8 @@ def _rates(inner: str, keep: str) -> str:
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     """Predictions once each, with gold and the verdict parsed from the answer."""
     p = table(spark, d, "prediction").filter(F.col("gold_label").isin(*curate.LABELS))
-    return evaluate.consolidated(p.withColumns({"gold": F.col("gold_label"), "pred": codec.parsed_label(F.col("prediction"))}), ["run_id", "dataset_index", "source", "gold", "pred"])
+    parsed = p.withColumns({"gold": F.col("gold_label"), "pred": codec.parsed_label(F.col("prediction"))})
+    return evaluate.consolidated(parsed, ["run_id", "source", "gold", "pred"], p.columns)
 
 
 _PRED = f"(select *, gold_label as gold, {_label('prediction')} as pred from (select distinct * from prediction) where gold_label in ('safe','unsafe'))"
@@ -125,9 +126,10 @@ _DUMP = "(select source, lower(trim(gold_label)) as gold, case when parsed and l
 @query(_rates(f"select source, grouping(source) = 1 as is_overall, {_COUNTS} from {_DUMP} group by grouping sets ((source), ())", "source, is_overall"))
 def validation_metrics(spark: SparkSession, d: str) -> DataFrame:
     low = lambda c: F.lower(F.trim(c))
-    p = table(spark, d, "prediction").withColumn("gold", low("gold_label")).filter(F.col("gold").isin(*curate.LABELS))
+    t = table(spark, d, "prediction")
+    p = t.withColumn("gold", low("gold_label")).filter(F.col("gold").isin(*curate.LABELS))
     p = p.withColumn("pred", F.when(F.col("parsed") & low("predicted_label").isin(*curate.LABELS), low("predicted_label")))
-    return metrics.metrics(evaluate.consolidated(p, ["run_id", "dataset_index", "source", "gold", "pred"]))
+    return metrics.metrics(evaluate.consolidated(p, ["source", "gold", "pred"], t.columns))
 
 
 @query(f"select run_id, string_agg(cell || '=' || n, ';' order by cell || '=' || n) as confusion from (select run_id, 'gold_' || gold || '__pred_' || coalesce(pred, 'unparseable') as cell, count(*)::varchar as n from {_PRED} group by 1, 2) group by run_id")
@@ -532,10 +534,10 @@ _SCORED_SQL = f"(select audit_id, source, generated_tokens, error is null as par
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "audit_result").filter(F.col("label").isin(*curate.LABELS)).withColumn("s", codec.strict_response(F.col("raw_output")))
+    t = table(spark, d, "audit_result").filter(F.col("label").isin(*curate.LABELS))
     s = F.col("s")
-    a = a.withColumns({"parsed": s["valid"], "reward": tensors.strict_reward(s["valid"], s["label"], F.col("label")), "correct": F.coalesce(s["valid"] & (s["label"] == F.col("label")), F.lit(False))}).drop("s")
-    return evaluate.consolidated(a, ["audit_id", "source", "generated_tokens", "parsed", "reward", "correct"])
+    a = t.withColumn("s", codec.strict_response(F.col("raw_output"))).withColumns({"parsed": s["valid"], "reward": tensors.strict_reward(s["valid"], s["label"], F.col("label")), "correct": F.coalesce(s["valid"] & (s["label"] == F.col("label")), F.lit(False))}).drop("s")
+    return evaluate.consolidated(a, ["audit_id", "source", "generated_tokens", "parsed", "reward", "correct"], t.columns)
 
 
 @query(f"select audit_id, parsed, correct, reward from {_SCORED_SQL}")
