@@ -113,6 +113,12 @@ def test_cut_texts(spark):
     assert truncation.cut_audits(df.limit(0)).count() == 0
 
 
+def test_long_runs_of_signs(spark):
+    rows = [(k, "s", t) for k, t in enumerate(("a" + "_" * 40_000, "a" + "_-" * 20_000 + ".", "/" * 40_000, "x." * 20_000, "." * 40_000, "word " * 40_000, "[" * 40_000, "=" * 40_000 + " …"))]
+    df = spark.createDataFrame(rows, "audit_id long, source string, analysis string")
+    assert {r.audit_id for r in truncation.judged(df).collect()} == set(range(len(rows)))
+
+
 def corpus(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 

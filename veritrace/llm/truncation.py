@@ -45,9 +45,9 @@ TAIL = r"(?:\.{2,}|…+|\x{FFFD}+|[\[<⟨({【（][^\[\]<>⟨⟩(){}【】（）
 #: Characters that a tail ends in, to try the pattern on few texts.
 TAIL_ENDS = ("]", ">", "⟩", ")", "}", "】", "）", "…", "\ufffd")
 _W = r"a-z0-9[\p{L}\p{M}\p{N}&&[^\p{IsHan}\x00-\x7f]]"
-#: A path; a word, or a name with dots inside; a Han character; a comma and the like before white space; an end mark.
+#: What repeats is possessive, so that a long run of one sign takes no more time than its length. A path; a word, or a name with dots inside; a Han character; a comma and the like before white space; an end mark.
 TOKEN = (
-    rf"[~.]?/[{_W}_./~-]*[{_W}_]|[{_W}]+(?:(?:[_-]+[{_W}]*)*(?:\.[{_W}_-]+)+)?|\p{{IsHan}}|[,;:](?=\s|$)|[，、；：]|[。？！]+|"
+    rf"(?<!/)[~.]?/[{_W}_./~-]*[{_W}_]|[{_W}]++(?:(?:[_-]++[{_W}]*+)*+(?:\.[{_W}_-]++)++)?|\p{{IsHan}}|[,;:](?=\s|$)|[，、；：]|[。？！]+|"
     r"[.?!]+(?=[\"'”»)\]`]*(?:\s|$))"
 )
 
@@ -57,9 +57,9 @@ PATH = r"(?<![^ ])[^ /.]*+(?:/|\.(?=[^ .?!]))[^ ]*"
 
 
 def _with_tokens(rows: DataFrame, text: str, w: str, p: str) -> DataFrame:
-    """Adds the tokens of a text joined by blanks, paths and names with dots inside as <p>, and those joined by blanks.
+    """Adds the tokens of a text joined by blanks: w with paths and names with dots inside as <p>, p with their parts, each marked by a /.
 
-    Joined tokens are written in far less time than arrays. Each step is a projection of its own, so that a text is taken through it
+    p is empty for a text without any. Joined tokens are written in far less time than arrays. Each step is a projection of its own, so that a text is taken through it
     once.
     """
     c = F.col
