@@ -529,7 +529,6 @@ def override_join(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- rewards, advantages and losses
 
-_GOOD = f"(error is null)"
 _SCORED_SQL = f"(select audit_id, source, generated_tokens, error is null as parsed, case when error is not null then -1.25 when regexp_extract(raw_output, '{codec.CANON}', 2) = label then 1.0 else -1.0 end::double as reward, coalesce(error is null and regexp_extract(raw_output, '{codec.CANON}', 2) = label, false) as correct from (select *, {_strict('raw_output', False)} as error from (select distinct * from audit_result) where label in ('safe','unsafe')))"
 
 
