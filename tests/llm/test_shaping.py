@@ -161,3 +161,21 @@ def test_mixture(spark, monkeypatch):
     shares = {(r.source, r.label_level): r for r in mixing.mixture_shares(items, targets).collect() if r.label_level == 0}
     assert shares["absent", 0].share == 0 and shares["small", 0].share == pytest.approx(0.15 / 0.95, abs=0.02) and shares["big", 0].most_uses == 1
     assert mixing.mixture(items.limit(0), targets).count() == mixing.mixture(items, targets.limit(0)).count() == 0
+
+
+def test_mixture_with_many_patterns(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = [("a",)] * 100 + [("a", "b", "c", "d")] * 60 + [tuple(rng.sample("abcd", 3)) for _ in range(40)]
+    rows = [(10 * i + k, s, "train", f"{i:03d}" + "x" * rng.randrange(20, 40), k) for i, of in enumerate(sets) for k, s in enumerate(of)]
+    rows = [(i, s, t, rows[j - k][3], k) for j, (i, s, t, _, k) in enumerate(rows)]  # records of one document have its content
+    schema = "item_id long, source string, source_split string, content string, label int"
+    wanted = {"a": 0.4, "b": 0.2, "c": 0.2, "d": 0.2}
+    targets = spark.createDataFrame([(s, t, 2) for s, t in wanted.items()], "source string, target_share double, max_repeats int")
+    for mine in (rows, [r for r in rows if r[0] < 1600]):  # the second without the patterns of three
+        items = spark.createDataFrame(mine, schema)
+        monkeypatch.undo()
+        whole = sorted(map(tuple, mixing.mixture(items, targets).collect()))
+        total = sum(r[3] * r[4] for r in whole)
+        assert all(sum(r[3] * r[4] for r in whole if r[1] == s) / total == pytest.approx(t, abs=0.02) for s, t in wanted.items())
+        monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+        assert sorted(map(tuple, mixing.mixture(items, targets).collect())) == whole

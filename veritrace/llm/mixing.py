@@ -8,17 +8,18 @@ fill the quotas. The total is the largest for which every source that has record
 records can't, and their share is spread over the others in proportion. Documents are then drawn in a seeded order:
 the flow of each pattern and use cuts the running sum of characters into one stretch a source.
 
-Only the pattern counts reach the driver: at most MAX_PATTERNS patterns of all their sources, the largest ones. Where there are
-more, a document of any other pattern can stand for two of its sources, those with the fewest characters for their share; so no
-document is left out and nothing is refused, whatever the number of sources and patterns (at most MAX_PATTERNS + S^2 then).
+Only the pattern counts reach the driver, all of them and with all their sources, as arrays. There is one way for any number of
+patterns: MAX_PATTERNS only says how many patterns' stretches are handed to the engine at once, and no result depends on it.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,43 +28,55 @@ from veritrace.runtime import materialize
 SEED = 20260101
 #: Stretches of the seeded order of a pattern; running sums are taken inside them and over their totals.
 BUCKETS = 1024
+#: Patterns whose stretches are handed to the engine at once.
 MAX_PATTERNS = 50_000
 #: Sources whose membership one long holds.
 WORD = 62
 
 
 class Network:
-    """Supply nodes, sinks, and the flow between them, on arrays: edges are sorted by sink and then by node.
+    """Supply nodes, sinks, and the flow between them, on arrays: routes has the nodes of each sink in ascending order.
 
     Sinks are few, nodes are many, so that paths are searched among sinks: one leads from sink s to t if some node that sends flow to s
     may send it to t. What all such nodes send is moved at once, which takes a few array operations a step instead of a path
-    for each node.
+    for each node. The sinks of a node are bits, so that a search reads each edge once.
     """
 
-    def __init__(self, supply: np.ndarray, node: np.ndarray, sink: np.ndarray, quota: np.ndarray) -> None:
-        order = np.lexsort((node, sink))
-        self.left, self.node, self.room = supply.astype(np.int64), node[order], quota.astype(np.int64)
-        self.flow = np.zeros(len(node), np.int64)
-        ends = np.searchsorted(sink[order], np.arange(len(quota) + 1))
-        self.of = [slice(int(a), int(b)) for a, b in zip(ends, ends[1:])]
-        self.shared: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    def __init__(self, supply: np.ndarray, routes: list[np.ndarray]) -> None:
+        self.supply, self.routes = supply.astype(np.int64), routes
+        self.bits = np.zeros((len(routes) // WORD + 1, len(supply)), np.int64)
+        for s, nodes in enumerate(routes):
+            self.bits[s // WORD, nodes] |= 1 << s % WORD
+
+    def reset(self, quota: np.ndarray) -> None:
+        self.left, self.room = self.supply.copy(), quota.astype(np.int64)
+        self.flow = [np.zeros(len(nodes), np.int64) for nodes in self.routes]
+
+    def _sinks(self, nodes: np.ndarray) -> list[int]:
+        """All sinks of the given nodes."""
+        found = [int(np.bitwise_or.reduce(b[nodes])) for b in self.bits]
+        return [s for s in range(len(self.routes)) if found[s // WORD] >> s % WORD & 1]
 
     def _shared(self, s: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """The edges to s and to t of the nodes that have both."""
-        if (s, t) not in self.shared:
-            _, a, b = np.intersect1d(self.node[self.of[s]], self.node[self.of[t]], assume_unique=True, return_indices=True)
-            self.shared[s, t] = a + self.of[s].start, b + self.of[t].start
-        return self.shared[s, t]
-
-    def reached(self, open_nodes: np.ndarray) -> dict[int, int | None]:
-        """Sinks that the supply left of the open nodes can get to, each with the sink before it, nearest first."""
-        usable = open_nodes & (self.left > 0)
-        before: dict[int, int | None] = {s: None for s in range(len(self.of)) if usable[self.node[self.of[s]]].any()}
+        """The edges to s and to t of the nodes that send flow to s and have both."""
+        a = np.flatnonzero((self.flow[s] > 0) & (self.bits[t // WORD, self.routes[s]] >> t % WORD & 1 > 0))
+        return a, np.searchsorted(self.routes[t], self.routes[s][a])
+
+    def reached(self, open_nodes: np.ndarray, room: bool = False) -> dict[int, int | None]:
+        """Sinks that the supply left of the open nodes can get to, each with the sink before it, nearest first.
+
+        With room, only as far as the first sink that has any.
+        """
+        before: dict[int, int | None] = dict.fromkeys(self._sinks(open_nodes & (self.left > 0)))
         queue = deque(before)
         while queue:
             s = queue.popleft()
-            for t in range(len(self.of)):
-                if t not in before and (self.flow[self._shared(s, t)[0]] > 0).any():
+            if room and self.room[s] > 0:
+                break
+            if len(before) == len(self.routes):
+                continue
+            for t in self._sinks(self.routes[s][self.flow[s] > 0]):
+                if t not in before:
                     before[t] = s
                     queue.append(t)
         return before
@@ -76,91 +89,104 @@ class Network:
     def fill(self, open_nodes: np.ndarray) -> None:
         """Sends as much as possible from the open nodes; flow in place may be rerouted."""
         while True:
-            before = self.reached(open_nodes)
+            before = self.reached(open_nodes, room=True)
             end = next((s for s in before if self.room[s] > 0), None)
             if end is None:
                 return
             path = [end]
             while before[path[-1]] is not None:
                 path.append(before[path[-1]])
-            first = self.of[path[-1]]
-            have = np.where(open_nodes[self.node[first]], self.left[self.node[first]], 0)
-            hops = [(self._shared(s, t)) for t, s in zip(path, path[1:])]
-            amount = min(int(self.room[end]), int(have.sum()), *(int(self.flow[a].sum()) for a, _ in hops))
-            for a, b in hops:  # from the end, so that each sink has given before it takes
-                moved = self._shares(self.flow[a], amount)
-                self.flow[a] -= moved
-                self.flow[b] += moved
+            first = self.routes[path[-1]]
+            have = np.where(open_nodes[first], self.left[first], 0)
+            hops = [(s, t, *self._shared(s, t)) for t, s in zip(path, path[1:])]
+            amount = min(int(self.room[end]), int(have.sum()), *(int(self.flow[s][a].sum()) for s, _, a, _ in hops))
+            for s, t, a, b in hops:  # from the end, so that each sink has given before it takes
+                moved = self._shares(self.flow[s][a], amount)
+                self.flow[s][a] -= moved
+                self.flow[t][b] += moved
             taken = self._shares(have, amount)
-            self.flow[first] += taken
-            self.left[self.node[first]] -= taken
+            self.flow[path[-1]] += taken
+            self.left[first] -= taken
             self.room[end] -= amount
 
+    def fill_by_use(self, uses: np.ndarray, quota: np.ndarray) -> None:
+        """Sends as much as quotas take from the nodes, at the least sum of (use - 1) * flow.
 
-def _edges(nodes: list[tuple], routes: dict[tuple, list[str]], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    at = {s: i for i, s in enumerate(names)}
-    sizes = [len(routes[n]) for n in nodes]
-    return np.repeat(np.arange(len(nodes)), sizes), np.array([at[s] for n in nodes for s in routes[n]], np.int64)
+        Costs depend on the use alone, so the uses are opened one after the other, each filled by augmenting paths in the
+        residual network of all uses opened so far; flow that is in place may be rerouted but never to a dearer use.
+        """
+        self.reset(quota)
+        for use in range(1, int(uses.max(initial=0)) + 1):
+            self.fill(uses == use)
 
 
 def min_cost_flow(supply: dict[tuple, int], routes: dict[tuple, list[str]], quota: dict[str, int]) -> dict[tuple, int]:
-    """Flow from (pattern, use) nodes to sources: as much as quotas take, at the least sum of (use - 1) * flow.
-
-    Costs depend on the use alone, so the uses are opened one after the other, each filled by augmenting paths in the
-    residual network of all uses opened so far; flow that is in place may be rerouted but never to a dearer use.
-    """
+    """Flow from (pattern, use) nodes to sources: as much as quotas take, at the least sum of (use - 1) * flow."""
     nodes, names = sorted(supply), sorted(quota)
-    node, sink = _edges(nodes, routes, names)
-    uses = np.array([u for _, u in nodes], np.int64)
-    net = Network(np.array([supply[n] for n in nodes], np.int64), node, sink, np.array([quota[s] for s in names], np.int64))
-    for use in np.unique(uses):
-        net.fill(uses == use)
-    return {(*nodes[net.node[e]], names[s]): int(net.flow[e]) for s in range(len(names)) for e in range(net.of[s].start, net.of[s].stop) if net.flow[e]}
+    net = Network(np.array([supply[n] for n in nodes], np.int64), [np.array([i for i, n in enumerate(nodes) if s in routes[n]], np.int64) for s in names])
+    net.fill_by_use(np.array([u for _, u in nodes], np.int64), np.array([quota[s] for s in names], np.int64))
+    return {(*nodes[n], s): int(f) for s, at, flow in zip(names, net.routes, net.flow) for n, f in zip(at, flow) if f}
 
 
-def plan_mixture(patterns: dict, targets: dict[str, tuple[float, int]]) -> tuple[dict[tuple, int], dict[str, float]]:
-    """(flow, effective shares) for patterns id -> (sources, characters) and targets source -> (share, most uses).
+def plan_flow(ends: np.ndarray, members: np.ndarray, chars: np.ndarray, share: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pattern, use, place, characters) of the flow, in this order, and the effective share of each place.
+
+    Pattern k has the places members[ends[k]:ends[k + 1]] and chars[k] characters; share and most uses are by place.
 
     The total comes from minimum cuts: begin with all that there is; if some sources miss their quotas, those that no
     supply is left for bound the total to what they can get by their share of it. Each such step is a maximum flow, and there are no
     more of them than sources.
     """
-    present = {s for sources, chars in patterns.values() if chars for s in sources}
-    shares = {s: t for s, (t, r) in targets.items() if s in present and t > 0 and r > 0}
-    whole = sum(shares.values())
-    if not whole:
-        return {}, {}
-    shares = {s: t / whole for s, t in shares.items()}
-    names = sorted(shares)
-    routes: dict[tuple, list[str]] = {}
-    supply: dict[tuple, int] = {}
-    for p, (sources, chars) in sorted(patterns.items()):
-        mine = sorted(s for s in sources if s in shares)
-        for use in range(1, max([targets[s][1] for s in mine], default=0) + 1):
-            routes[p, use] = [s for s in mine if targets[s][1] >= use]
-            supply[p, use] = chars
-    nodes = sorted(supply)
-    node, sink = _edges(nodes, routes, names)
-    amounts, share = np.array([supply[n] for n in nodes], np.int64), np.array([shares[s] for s in names])
-    total = int(amounts.sum())
+    of = np.repeat(np.arange(len(chars)), np.diff(ends))
+    present = np.zeros(len(share), bool)
+    present[members[chars[of] > 0]] = True
+    share = np.where(present & (share > 0) & (most > 0), share, 0.0)
+    most = np.where(share > 0, most, 0)
+    share = share / (sum(share.tolist()) or 1.0)
+    top = np.zeros(len(chars), np.int64)
+    np.maximum.at(top, of, most[members])
+    start = np.cumsum(top) - top
+    pattern = np.repeat(np.arange(len(chars), dtype=np.int32), top)
+    use = (np.arange(len(pattern)) - start[pattern] + 1).astype(np.int32)
+    net = Network(chars[pattern], [(start[of[members == s]][:, None] + np.arange(most[s])).ravel().astype(np.int32 if len(pattern) < 2**31 else np.int64) for s in range(len(share))])
+    everything = np.ones(len(pattern), bool)
+    total = int(net.supply.sum())
     while True:
-        net = Network(amounts, node, sink, np.floor(share * total).astype(np.int64))
-        net.fill(np.ones(len(nodes), bool))
+        net.reset(np.floor(share * total))
+        net.fill(everything)
         if not net.room.any():
             break
-        short = np.ones(len(names), bool)
-        short[list(net.reached(np.ones(len(nodes), bool)))] = False
-        feeding = np.zeros(len(nodes), bool)
-        feeding[node[short[sink]]] = True
-        total = min(total - 1, int(amounts[feeding].sum() / share[short].sum()))
-    return min_cost_flow(supply, routes, {s: int(q) for s, q in zip(names, np.floor(share * total))}), shares
+        short = np.ones(len(share), bool)
+        short[list(net.reached(everything))] = False
+        feeding = np.zeros(len(pattern), bool)
+        for s in np.flatnonzero(short):
+            feeding[net.routes[s]] = True
+        total = min(total - 1, int(net.supply[feeding].sum() / share[short].sum()))
+    net.fill_by_use(use, np.floor(share * total))
+    used = [np.flatnonzero(f) for f in net.flow]
+    node = np.concatenate([np.zeros(0, np.int64), *(at[i] for at, i in zip(net.routes, used))])
+    place = np.repeat(np.arange(len(share)), [len(i) for i in used])
+    flow = np.concatenate([np.zeros(0, np.int64), *(f[i] for f, i in zip(net.flow, used))])
+    order = np.lexsort((place, node))
+    node = node[order]
+    return pattern[node], use[node], place[order], flow[order], share
+
 
+def plan_mixture(patterns: dict, targets: dict[str, tuple[float, int]]) -> tuple[dict[tuple, int], dict[str, float]]:
+    """plan_flow for patterns id -> (sources, characters) and targets source -> (share, most uses): (flow, effective shares)."""
+    names, ids = sorted(targets), sorted(patterns)
+    at = {s: i for i, s in enumerate(names)}
+    lists = [sorted(at[s] for s in set(patterns[p][0]) if s in at) for p in ids]
+    ends, members = np.cumsum([0, *map(len, lists)]), np.array([i for found in lists for i in found], np.int64)
+    share, most = (np.array([targets[s][k] for s in names]) for k in (0, 1))
+    *flow, share = plan_flow(ends, members, np.array([patterns[p][1] for p in ids], np.int64), share, most)
+    return {(ids[p], int(u), names[s]): int(f) for p, u, s, f in zip(*flow)}, {s: float(x) for s, x in zip(names, share) if x}
 
-def _documents(items: DataFrame, names: list[str], listed: dict[str, tuple[float, int]], train: str) -> tuple[DataFrame, DataFrame]:
+
+def _documents(items: DataFrame, names: list[str], train: str) -> tuple[DataFrame, DataFrame]:
     """(docs, members) as written tables: docs h1, h2, pattern, keeper, chars; members h1, h2, item_id, source, label, chars.
 
-    A document's id is two 64-bit hashes of its content; its pattern are the places in `names` of the sources it occurs in, those
-    with the fewest characters for their share first.
+    A document's id is two 64-bit hashes of its content; its pattern are the places in `names` of all the sources it occurs in.
     """
     spark = items.sparkSession
     places = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, place int")
@@ -171,21 +197,31 @@ def _documents(items: DataFrame, names: list[str], listed: dict[str, tuple[float
         .join(F.broadcast(places), "source")
     )
     members = materialize(rows, "mix-members")
-    have = {r.place: r.chars for r in members.groupBy("place").agg(F.sum("chars").alias("chars")).collect()}
-    order = sorted(have, key=lambda i: (have[i] / max(listed[names[i]][0], 1e-300), i))
     words = range(len(names) // WORD + 1)
     bit = lambda k: F.bit_or(F.when(F.floor(F.col("place") / WORD) == k, F.expr(f"shiftleft(1L, place % {WORD})")).otherwise(F.lit(0).cast("long")))
     bits = members.groupBy("h1", "h2").agg(F.array(*[bit(k) for k in words]).alias("bits"), F.min("item_id").alias("keeper"), F.max("chars").alias("chars"))
     within = lambda i: F.getbit(F.get("bits", F.floor(i / WORD).cast("int")), i % WORD) == 1
-    docs = materialize(bits.select("h1", "h2", F.filter(F.array(*map(F.lit, order)).cast("array<int>"), within).alias("pattern"), "keeper", "chars"), "mix-documents")
-    sizes = materialize(docs.groupBy("pattern").agg(F.sum("chars").alias("n")), "mix-patterns")
-    if sizes.count() > MAX_PATTERNS:
-        large = sizes.orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS).select("pattern", F.lit(True).alias("large"))
-        docs = docs.join(F.broadcast(large), "pattern", "left").withColumn("pattern", F.when(F.col("large"), F.col("pattern")).otherwise(F.slice("pattern", 1, 2))).drop("large")
-        docs = materialize(docs, "mix-documents")
+    docs = materialize(bits.select("h1", "h2", F.filter(F.array(*map(F.lit, range(len(names)))).cast("array<int>"), within).alias("pattern"), "keeper", "chars"), "mix-documents")
     return docs, members
 
 
+def _stretches(spark: SparkSession, docs: DataFrame, names: list[str], listed: dict[str, tuple[float, int]]) -> DataFrame:
+    """(pattern, use, source, a, b) as written tables: the stretches of each pattern's seeded order, in characters, that go to a source as the use-th use."""
+    counts = docs.groupBy("pattern").agg(F.sum("chars").alias("chars")).orderBy("pattern").toArrow().combine_chunks()
+    lists = pa.concat_arrays([*counts["pattern"].chunks, pa.array([], counts.schema.field("pattern").type)])
+    share, most = (np.array([listed[s][k] for s in names]) for k in (0, 1))
+    pattern, use, place, flow, _ = plan_flow(lists.offsets.to_numpy(), lists.values.to_numpy(), counts["chars"].to_numpy(), share, most)
+    b = np.cumsum(flow)
+    first = np.flatnonzero((np.diff(pattern, prepend=-1) != 0) | (np.diff(use, prepend=-1) != 0))
+    b -= np.repeat((b - flow)[first], np.diff(first, append=len(flow)))
+    blocks = []
+    for k in range(0, max(len(lists), 1), MAX_PATTERNS):
+        rows = slice(*np.searchsorted(pattern, (k, k + MAX_PATTERNS)))
+        cuts = {"pattern": lists.take(pa.array(pattern[rows])), "use": use[rows], "source": pa.array(names, pa.string()).take(pa.array(place[rows])), "a": (b - flow)[rows], "b": b[rows]}
+        blocks.append(materialize(spark.createDataFrame(pa.table(cuts), "pattern array<int>, use int, source string, a long, b long"), "mix-stretches"))
+    return reduce(DataFrame.unionByName, blocks)
+
+
 def mixture(items: DataFrame, targets: DataFrame, train: str = "train", seed: int = SEED) -> DataFrame:
     """(item_id, source, label, chars, uses): the mixture, one row for each record and source that it stands for.
 
@@ -201,24 +237,17 @@ def mixture(items: DataFrame, targets: DataFrame, train: str = "train", seed: in
     )
     listed = {r.source: (r.share, r.uses) for r in wanted.collect()}
     names = sorted(listed)
-    docs, members = _documents(items, names, listed, train)
-    counts = docs.groupBy("pattern").agg(F.sum("chars").alias("chars")).collect()
-    flow, _ = plan_mixture({tuple(r.pattern): ([names[i] for i in r.pattern], r.chars) for r in counts}, listed)
-    # stretches of each pattern's seeded order, in characters, that go to a source as the use-th use
-    cuts, at = [], {}
-    for (p, use, s), f in sorted(flow.items()):
-        a = at.get((p, use), 0)
-        cuts.append((list(p), use, s, a, a + f))
-        at[p, use] = a + f
-    stretch = spark.createDataFrame(cuts, "pattern array<int>, use int, source string, a long, b long")
+    docs, members = _documents(items, names, train)
+    stretches = _stretches(spark, docs, names, listed)
     # running sums in two levels, so that a pattern with most of the rows isn't sorted in one task
     order = docs.withColumn("o", F.xxhash64("h1", "h2", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("o", 54).cast("int"))
     order = materialize(order, "mix-order")
     sums = order.groupBy("pattern", "bucket").agg(F.sum("chars").alias("n"))
-    base = sums.select("pattern", "bucket", (F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("base"))
+    base = sums.select("pattern", "bucket", "n", (F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")).alias("base"))
+    cuts = base.join(stretches, "pattern").filter("a < base + n and b > base").select("pattern", "bucket", "source", (F.col("a") - F.col("base")).alias("a"), (F.col("b") - F.col("base")).alias("b"))
     within = Window.partitionBy("pattern", "bucket").orderBy("o", "keeper")
-    placed = order.withColumn("c", F.sum("chars").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars")).join(base, ["pattern", "bucket"]).withColumn("c", F.col("base") + F.col("c"))
-    drawn = placed.join(F.broadcast(stretch), "pattern").filter("c >= a and c < b").groupBy("h1", "h2", "source").agg(F.count("*").cast("int").alias("uses"))
+    placed = order.withColumn("c", F.sum("chars").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("chars"))
+    drawn = placed.join(cuts, ["pattern", "bucket"]).filter("c >= a and c < b").groupBy("h1", "h2", "source").agg(F.count("*").cast("int").alias("uses"))
     drawn = materialize(drawn, "mix-drawn")
     first = members.groupBy("h1", "h2", "source").agg(F.min(F.struct("item_id", "label", "chars")).alias("r"))
     return drawn.join(first, ["h1", "h2", "source"]).select("r.item_id", "source", "r.label", "r.chars", "uses")
